@@ -52,6 +52,39 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.pii import KINDS, counted, find_spans, written_spans
+
+    found = find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[counted("base", k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(written_spans("base").cast("binary"), 256).alias("base_sha256"),
+        written_spans("spans").alias("spans"),
+    )
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.winnow import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.packing import pack, pieces
 
@@ -59,6 +92,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.topk import integer_vectors, top_k
+
+    return top_k(integer_vectors(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.quality import score, train
 
@@ -74,13 +113,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_language_id": op2_language_id,
+        "op3_pii": op3_pii,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_exact_top_k": op8_exact_top_k,
         "op9_quality_classifier": op9_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op8_exact_top_k": OP8_SQL}
 
 
 OP1_SQL = rf"""
@@ -98,3 +141,17 @@ SELECT conv_id, count(*) AS n_turns,
     ORDER BY turn NULLS FIRST, role, text), 'S?U(AU)*A?') AS valid
 FROM t GROUP BY conv_id
 """
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
