@@ -64,8 +64,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.substring import dedup
+
+    return dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.llm.winnow import contamination
+    from docloom.llm.winnow import contaminated, contamination
 
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -75,7 +81,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 
@@ -109,16 +115,24 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.suffix import dedup
+
+    return dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_language_id": op2_language_id,
         "op3_pii": op3_pii,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 

@@ -131,10 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, train_bytes
     return model.weights(slice(None))
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Adds ``score`` (0 to 1) to any frame with a ``text`` column; map only."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """Adds a score (0 to 1) to any frame with a ``text`` column; map only."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shipped.value
@@ -147,6 +147,6 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 np.cumsum(w[f], out=sums[1:], dtype=np.float64)
                 n = np.diff(first)
                 out[lo:hi] = bias + SCALE * np.diff(sums[first]) / (n + SMOOTH)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], [*batch.schema.names, name])
 
     return docs.mapInArrow(scored, schema)

@@ -143,7 +143,7 @@ class SpanHash:
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k) * np.uint64(0x2545F4914F6CDD1D))
+        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:

@@ -63,17 +63,17 @@ def fingerprint_block(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the bits as a long) of every row; map only."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and fp (the bits as a long) of every row; map only."""
+    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry), "fp long"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [fingerprint_block(data, off) for _, _, data, off in S.text_blocks(batch["text"])]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(S.signed(fp))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), pa.array(S.signed(fp))], [*carry, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, schema)
+    return docs.select(*carry, "text").mapInArrow(made, schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -215,11 +215,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """doc_id, fp, component_id (least id of the component) of every row."""
-    marked = S.cut(fingerprints(docs))
+def near_duplicates(docs: DataFrame, near: int = NEAR, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, fp, root (a fingerprint that names the component) and component_id (its least id) of every row."""
+    marked = S.cut(fingerprints(docs, carry))
     distinct = S.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), near))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(rooted.select("fp", "root").join(ids, "root"), "fp").select(*carry, "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """The rows and columns of the least id (null last; of its texts, one by hash) of each component."""
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = near_duplicates(keyed.select("doc_id", "_hash", "text"), near, ("doc_id", "_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
+    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_kept"))
+    stays = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)

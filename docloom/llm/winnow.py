@@ -115,15 +115,15 @@ def in_bitmap(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def document_hits(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """doc_id, n_words, hits (possible fingerprints with their places and surrounding words) of every row; map only."""
+def document_hits(docs: DataFrame, fingerprints: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_words, hits (possible fingerprints with their places and surrounding words) of every row; map only."""
     spark = docs.sparkSession
     long_map = bitmap(fingerprints.where(F.col("need") == WINDOW), "fp", BITMAP_BITS)
     short = fingerprints.where(F.col("need") < WINDOW)
     short_map = bitmap(short, "fp", BITMAP_BITS)
     grams = sorted(r["gram"] for r in short.select("gram").distinct().collect())  # at most GRAM values
     shipped = spark.sparkContext.broadcast((long_map, short_map))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits {_MATCH}"
+    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry), "n_words long", f"hits {_MATCH}"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long_set, short_set = shipped.value
@@ -153,10 +153,10 @@ def document_hits(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
                 per = np.zeros(hi - lo + 1, np.int32)
                 np.cumsum(np.bincount(owner, minlength=hi - lo), out=per[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(lo, hi - lo), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(per), matches)], ["doc_id", "n_words", "hits"]
+                    [*(batch[c].slice(lo, hi - lo) for c in carry), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(per), matches)], [*carry, "n_words", "hits"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(found, schema)
+    return docs.select(*carry, "text").mapInArrow(found, schema)
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +190,10 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids of items with occurring windows) of every row."""
+def contamination(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_words, n_hit, items (sorted ids of items with occurring windows) of every row."""
     prints = S.cut(item_fingerprints(items))
-    rows = S.written(document_hits(docs, prints).withColumn("row", F.monotonically_increasing_id()), "hits")
+    rows = S.written(document_hits(docs, prints, carry).withColumn("row", F.monotonically_increasing_id()), "hits")
     kind = prints.schema["items"].dataType.simpleString()
     pairs = (
         rows.select("row", F.explode("hits").alias("h"))
@@ -208,6 +208,19 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
     found = found.select("row", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), step)["n"].alias("n_hit"), "items")
-    return rows.select("row", "doc_id", "n_words").join(found, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast(kind))).alias("items")
+    return rows.select("row", *carry, "n_words").join(found, "row", "left").select(
+        *carry, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast(kind))).alias("items")
     )
+
+
+def contaminated(n_hit, n_words):
+    """A document is contaminated when at least one word in twenty is hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows and columns of documents that are not contaminated."""
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = contamination(keyed.select("doc_id", "_hash", "text"), items, ("doc_id", "_hash"))
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_bad"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_bad")), "left_anti").select(*docs.columns)
