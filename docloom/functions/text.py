@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-ATOM = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+ATOM = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 #: Scripts counted by character, scripts whose estimate is uncalibrated, and the factor.
 WIDE = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
 UNCALIBRATED = (

@@ -37,7 +37,7 @@ terms AS (
   FROM chunks WHERE ordinal % 7 = 3 AND section IS NOT NULL AND regexp_extract(text, '[A-Za-z]{5,}', 0) <> '')
 """
 _WIDE = r"[\x{3000}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
-_ATOM = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+_ATOM = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 _ATOMS = rf"""CAST(len(regexp_extract_all(regexp_replace(text, '{_WIDE}', ' ', 'g'), '{_ATOM}'))
   + round_even(len(regexp_extract_all(text, '{_WIDE}')) / 1.3, 0) AS BIGINT)"""
 _SIZED = rf"{_CHUNKS}, sized AS (SELECT *, CAST(floor({_ATOMS} * 1.3) AS BIGINT) AS tokens FROM chunks)"
