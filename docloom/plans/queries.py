@@ -173,6 +173,23 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks(C.table(spark, d, "documents").where("doc_id is not null").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id").select("doc_id", "block_no", "offset", F.length("text").cast("long").alias("chars"))
 
 
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of every page. No SQL: DuckDB reads no HTML; the tests hold the reader against written-out pages."""
+    from docloom.sources.extract import block_rows, from_html
+
+    rows = block_rows(from_html(C.table(spark, d, "pages"), ["page_id"]), ["page_id"])
+    return rows.select("page_id", "block_no", F.array_join("heading_path", T.PATH_SEP).alias("heading_path"), "offset", "text")
+
+
+def chunks_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every page. No SQL: the rules feed each merge into the next; the tests hold them against examples."""
+    from docloom.operators.chunking import chunk_documents
+    from docloom.sources.extract import block_rows, from_html
+
+    blocks = block_rows(from_html(C.table(spark, d, "pages"), ["page_id"]), ["page_id"])
+    return chunk_documents(blocks.withColumn("section", F.lit(None).cast("string")), "page_id")
+
+
 def classify_kinds(spark: SparkSession, d: str) -> DataFrame:
     from docloom.operators.chunking import classify_kinds as classified
 
@@ -240,6 +257,8 @@ def queries() -> dict[str, Query]:
         "url_normalise": url_normalise,
         "digest_dedup": digest_dedup,
         "text_blocks": text_blocks,
+        "html_blocks": html_blocks,
+        "chunks": chunks_of_pages,
         "recall_at_k": recall_at_k,
         "self_label": self_label,
         "index_share": lambda s, d: evaluate.index_share(chunks(s, d)),

@@ -27,7 +27,7 @@ def rows(table):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = queries.queries()[name](spark, DATA).toArrow()
     want = duck.sql(oracles.oracle_sql()[name]).to_arrow_table()
