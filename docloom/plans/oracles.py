@@ -281,6 +281,22 @@ def oracle_sql() -> dict[str, str]:
         "index_share": f"""WITH {_CHUNKS}, p AS (SELECT library_id, doc_id, count(*) AS n FROM chunks GROUP BY 1, 2)
             SELECT library_id, doc_id, round(n / sum(n) OVER (PARTITION BY library_id), 9) AS share FROM p""",
     }
+    top = out["top_headings"].removeprefix(f"WITH {_CHUNKS}, ")
+    out["list_documents"] = f"""WITH {_CHUNKS}, top AS (WITH {top}), h AS (SELECT doc_id, string_agg(heading, '; ' ORDER BY place) AS headings FROM top GROUP BY 1)
+        SELECT p.library_id, p.doc_id, source || '/' || p.doc_id AS title, chunk_count, coalesce(headings, '') AS headings
+        FROM docs JOIN pieces p USING (doc_id) LEFT JOIN h ON h.doc_id = p.doc_id WHERE status = 'ready'"""
+    part = lambda name, prefix: out[name].removeprefix(f"WITH {prefix}").lstrip(", ")
+    sub = lambda name, prefix: (lambda q: f"(WITH {q})" if not q.lstrip().upper().startswith("SELECT") else f"({q})")(part(name, prefix))
+    counts = "".join(
+        f" LEFT JOIN (SELECT doc_id, count(*) AS {alias} FROM {sub(name, _CHUNKS)} GROUP BY 1) {alias}_t USING (doc_id)"
+        for name, alias in (("scattered_sections", "scattered"), ("uncovered_pages", "uncovered_pages"), ("unjoinable_sections", "unjoinable"))
+    )
+    out["verify"] = f"""WITH {_FINDINGS}, spread AS {sub("token_spread", _SIZED)}, judged AS {sub("verdict", _FINDINGS)}
+        SELECT doc_id, status, chunk_count, token_median, token_p95, token_mean, CAST(0 AS BIGINT) AS ordinal_gaps, coalesce(scattered, 0) AS scattered,
+          coalesce(uncovered_pages, 0) AS uncovered_pages, coalesce(unjoinable, 0) AS unjoinable, coalesce(found_n, 0) AS findings, verdict
+        FROM docs LEFT JOIN spread USING (doc_id){counts} LEFT JOIN (SELECT doc_id, count(*) AS found_n FROM findings GROUP BY 1) f USING (doc_id) JOIN judged USING (doc_id)"""
+    out["grouped_results"] = f"""SELECT library_id, doc_id, min(rank) AS best, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS chunk_ids
+        FROM ({_search(WORDS, 40)}) GROUP BY 1, 2"""
     for name, code in (("oversized", "oversized"), ("fragmented", "fragmented"), ("flat", "flat_hierarchy"), ("figure", "figure_dominated"), ("unaddressable", "unaddressable")):
         out[f"grade_{name}"] = f"WITH {_FINDINGS} SELECT * FROM findings WHERE code = '{code}'"
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import access, crawl, evaluate, grade, jobs, navigate, search
+from docloom.operators import access, crawl, evaluate, grade, jobs, navigate, reports, search
 from docloom.plans import corpus as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +173,14 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks(C.table(spark, d, "documents").where("doc_id is not null").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id").select("doc_id", "block_no", "offset", F.length("text").cast("long").alias("chars"))
 
 
+def verify(spark: SparkSession, d: str) -> DataFrame:
+    return reports.verify(C.documents(spark, d), C.sized(spark, d), C.index_terms(spark, d))
+
+
+def grouped_results(spark: SparkSession, d: str) -> DataFrame:
+    return reports.grouped_results(search.search(C.chunks(spark, d), C.ready(spark, d), search.Search(WORDS, k=40)))
+
+
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of every page. No SQL: DuckDB reads no HTML; the tests hold the reader against written-out pages."""
     from docloom.sources.extract import block_rows, from_html
@@ -257,6 +265,9 @@ def queries() -> dict[str, Query]:
         "url_normalise": url_normalise,
         "digest_dedup": digest_dedup,
         "text_blocks": text_blocks,
+        "list_documents": lambda s, d: reports.list_documents(documents(s, d), chunks(s, d)),
+        "verify": verify,
+        "grouped_results": grouped_results,
         "html_blocks": html_blocks,
         "chunks": chunks_of_pages,
         "recall_at_k": recall_at_k,
