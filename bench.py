@@ -14,9 +14,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "bm25_topk", "bm25_pool", "search_index_boost", "search_section_filter", "token_spread", "verdict", "grade_boilerplate",
-    "outline", "context_trim", "classify_kinds", "scattered_sections", "readable_libraries", "waiting_queues", "claim_order",
-    "soft404_resemblance", "url_normalise", "digest_dedup", "self_label", "html_blocks", "chunks",
+    "bm25_topk", "bm25_pool", "search_index_boost", "search_section_filter", "token_spread", "verdict",
+    "outline", "context_trim", "classify_kinds", "readable_libraries", "waiting_queues",
+    "soft404_resemblance", "url_normalise", "digest_dedup", "self_label", "html_blocks",
 ]
 
 

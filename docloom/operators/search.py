@@ -2,8 +2,8 @@
 
 ``chunks`` has library_id, doc_id, chunk_id, ordinal, section, heading_path, text, kind. Statistics span a
 whole library, whatever a search is narrowed to. A query's terms are known when the plan is made, so chunks
-are never exploded into all their words: each chunk counts the query's terms in place, and only the
-terms that it holds become rows. Texts stay out of the shuffles; join them back by chunk_id.
+are never exploded into words: each chunk counts the query's terms in place, and a score is an expression
+over those counts and its library's statistics. Texts stay out of the shuffles; join them back by chunk_id.
 """
 
 from __future__ import annotations
@@ -49,38 +49,48 @@ def scored_field(heading: Column, text: Column) -> Column:
     return F.concat_ws(" ", heading, heading, text)
 
 
+FACTS = ("ordinal", "section", "heading_path", "kind")
+
+
 def counted(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """library_id, doc_id, chunk_id, length and hits (term, tf of the query's terms that occur)."""
-    tokens = F.col("_tokens")
-    each = [F.struct(F.lit(t).alias("term"), F.size(F.filter(tokens, (lambda t: lambda x: x == t)(t))).alias("tf")) for t in terms]
-    return chunks.withColumn("_tokens", T.words(scored_field(F.col("heading_path"), F.col("text")))).select(
-        "library_id", "doc_id", "chunk_id", F.size("_tokens").cast("long").alias("length"), F.filter(F.array(*each), lambda h: h["tf"] > 0).alias("hits")
-    )
+    """Keys and facts of every chunk, its length in words and tf, the counts of the query's terms in their order."""
+    tf = [F.size(F.filter("_tokens", (lambda t: lambda x: x == t)(t))) for t in terms]
+    tokens = chunks.withColumn("_tokens", T.words(scored_field(F.col("heading_path"), F.col("text"))))
+    return tokens.select("library_id", "doc_id", "chunk_id", *[c for c in FACTS if c in chunks.columns], F.size("_tokens").cast("long").alias("length"), F.array(*tf).alias("tf"))
 
 
-def library_statistics(counts: DataFrame) -> DataFrame:
-    """library_id, chunks, mean_length of every library."""
-    return counts.groupBy("library_id").agg(F.count("*").alias("chunks"), F.avg("length").alias("mean_length"))
+def library_statistics(counts: DataFrame, terms: list[str]) -> DataFrame:
+    """library_id, chunks, mean_length and df (of the terms, in their order) of every library: one combined pass."""
+    df = F.array(*[F.count_if(F.col("tf")[n] > 0) for n in range(len(terms))])
+    return counts.groupBy("library_id").agg(F.count("*").alias("chunks"), F.avg("length").alias("mean_length"), df.alias("df"))
 
 
-def term_statistics(counts: DataFrame) -> DataFrame:
-    """library_id, term, df of the query's terms."""
-    return counts.select("library_id", F.explode("hits").alias("h")).groupBy("library_id", F.col("h.term").alias("term")).agg(F.count("*").alias("df"))
+def term_statistics(statistics: DataFrame, terms: list[str]) -> DataFrame:
+    """library_id, term, df, chunks, mean_length of the terms that a library holds."""
+    named = F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), F.col("df").alias("df"))
+    rows = statistics.select("library_id", "chunks", "mean_length", F.explode(named).alias("t"))
+    return rows.select("library_id", "t.term", "t.df", "chunks", "mean_length").where("df > 0")
 
 
 def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """library_id, doc_id, chunk_id, bm25 (negative: lower is better) of the chunks that hold a term."""
+    """Keys, facts and bm25 (negative: lower is better) of the chunks that hold a term.
+
+    A score is an expression over the chunk's own counts and its library's statistics, so the only shuffle is
+    that of the statistics, a row for each library and task.
+    """
     counts = counted(chunks, terms)
-    idf = F.log1p((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = term_statistics(counts).join(library_statistics(counts), "library_id").select("library_id", "term", "mean_length", idf.alias("idf"))
-    hits = counts.where(F.size("hits") > 0).select("library_id", "doc_id", "chunk_id", "length", F.explode("hits").alias("h"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return (
-        hits.select("library_id", "doc_id", "chunk_id", "length", "h.term", "h.tf")
-        .join(weights, ["library_id", "term"])
-        .groupBy("library_id", "doc_id", "chunk_id")
-        .agg(F.round(-F.sum(part), PLACES).alias("bm25"))
-    )
+    statistics = library_statistics(counts, terms)
+
+    def part(n: int) -> Column:
+        tf, df = F.col("tf")[n], F.col("df")[n]
+        idf = F.log1p((F.col("chunks") - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))).otherwise(F.lit(0.0))
+
+    score = part(0)
+    for n in range(1, len(terms)):
+        score = score + part(n)
+    hits = counts.where(F.exists("tf", lambda x: x > 0))
+    return hits.join(statistics, "library_id").withColumn("bm25", F.round(-score, PLACES)).drop("tf", "df", "length", "chunks", "mean_length")
 
 
 def relevance(score: Column) -> Column:
@@ -97,11 +107,11 @@ def term_sections(index_terms: DataFrame, query: str) -> DataFrame:
     return index_terms.where(held).select("library_id", "doc_id", "section").distinct()
 
 
-def boosted(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """library_id, doc_id, chunk_id of chunks whose section lies under a matched one: an equi-join on ancestors."""
+def boosted(found: DataFrame, sections: DataFrame) -> DataFrame:
+    """library_id, doc_id, chunk_id of rows whose section lies under a matched one: an equi-join on ancestors."""
     wanted = sections.select("library_id", "doc_id", F.col("section").alias("ancestor"))
     return (
-        chunks.where(F.length("section") > 0)
+        found.where(F.length("section") > 0)
         .select("library_id", "doc_id", "chunk_id", F.explode(T.ancestors(F.col("section"))).alias("ancestor"))
         .join(wanted, ["library_id", "doc_id", "ancestor"], "left_semi")
         .select("library_id", "doc_id", "chunk_id")
@@ -112,13 +122,11 @@ def boosted(chunks: DataFrame, sections: DataFrame) -> DataFrame:
 def pools(chunks: DataFrame, ready: DataFrame, search: Search) -> DataFrame:
     """The best 4k chunks of each ready document by raw score, with pool_rank."""
     scores = bm25(chunks, query_terms(search.query))
-    facts = chunks.select("library_id", "doc_id", "chunk_id", "ordinal", "section", "heading_path", "kind")
     if search.section_filter:
-        facts = facts.where(T.within_section(F.col("heading_path"), search.section_filter))
+        scores = scores.where(T.within_section(F.col("heading_path"), search.section_filter))
     order = Window.partitionBy("library_id", "doc_id").orderBy("bm25", "chunk_id")
     return (
-        scores.join(facts, ["library_id", "doc_id", "chunk_id"])
-        .join(ready.select("library_id", "doc_id"), ["library_id", "doc_id"], "left_semi")
+        scores.join(ready.select("library_id", "doc_id"), ["library_id", "doc_id"], "left_semi")
         .withColumn("pool_rank", F.row_number().over(order))
         .where(F.col("pool_rank") <= POOL_FACTOR * search.depth)
     )
@@ -128,7 +136,7 @@ def ranked(chunks: DataFrame, ready: DataFrame, search: Search, index_terms: Dat
     """Adds adjusted, matched_book_index, doc_rank and relevance to pools, cut to k a document."""
     found = pools(chunks, ready, search)
     if index_terms is not None:
-        marks = boosted(chunks, term_sections(index_terms, search.query)).withColumn("matched_book_index", F.lit(True))
+        marks = boosted(found, term_sections(index_terms, search.query)).withColumn("matched_book_index", F.lit(True))
         found = found.join(marks, ["library_id", "doc_id", "chunk_id"], "left").withColumn("matched_book_index", F.coalesce("matched_book_index", F.lit(False)))
     else:
         found = found.withColumn("matched_book_index", F.lit(False))

@@ -36,9 +36,9 @@ def bm25_interleave(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
-    counts = search.counted(C.chunks(spark, d), search.query_terms(WORDS))
-    joined = search.term_statistics(counts).join(search.library_statistics(counts), "library_id")
-    return joined.select("library_id", "term", "df", "chunks", F.round("mean_length", 6).alias("mean_length"))
+    terms = search.query_terms(WORDS)
+    statistics = search.library_statistics(search.counted(C.chunks(spark, d), terms), terms)
+    return search.term_statistics(statistics, terms).withColumn("mean_length", F.round("mean_length", 6))
 
 
 def search_index_boost(spark: SparkSession, d: str) -> DataFrame:

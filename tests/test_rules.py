@@ -110,7 +110,7 @@ def test_heading_counts_twice_and_statistics_span_the_library(spark):
     chunks = spark.createDataFrame(rows, "library_id string, doc_id long, chunk_id long, ordinal int, section string, heading_path string, text string, kind string")
     scores = {r.chunk_id: r.bm25 for r in search.bm25(chunks, ["apple"]).collect()}
     assert scores[10] < scores[11] < 0 and set(scores) == {10, 11, 30}
-    stats = {r.library_id: (r.df) for r in search.term_statistics(search.counted(chunks, ["apple"])).collect()}
+    stats = {r.library_id: (r.df) for r in search.term_statistics(search.library_statistics(search.counted(chunks, ["apple"]), ["apple"]), ["apple"]).collect()}
     assert stats == {"l": 2, "m": 1}
 
 
