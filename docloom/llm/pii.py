@@ -179,7 +179,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with each span (overlaps merged) replaced by ``[KIND]``."""
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     spans = find_spans(keyed.select("doc_id", "_text_hash", "text")).where(F.size("spans") > 0)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(state: Column, s: Column) -> Column:
@@ -188,7 +188,7 @@ def redact(docs: DataFrame) -> DataFrame:
         longer = F.struct(F.greatest(state["pos"], s["end"]).alias("pos"), state["out"].alias("out"))
         return F.when(s["start"] >= state["pos"], new).otherwise(longer)
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.col("text").substr(done["pos"] + 1, F.length("text"))))
+    done = F.aggregate("_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.col("text").substr(done["pos"] + 1, F.length("text"))))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     return joined.withColumn("text", text).select(*docs.columns)
