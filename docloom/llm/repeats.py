@@ -9,9 +9,10 @@ Two equal windows of ``window`` symbols have the same anchor, the least hash amo
    that fills up lets more segments through and changes no result.
 2. a second map cuts each text into segments: runs of windows with one anchor that is in the bitmap. A
    task emits a text that it has seen before only if its id is smaller.
-3. equal segments fold to one row with its least (id, start), again combined before the shuffle; an
-   occurrence beyond the least is repeated as a whole, whatever else holds. Only distinct segments reach
-   the shards, by anchor; a shard's index then finds the first occurrence of each window among them.
+3. an occurrence of a segment beyond its least (id, start) is repeated as a whole, whatever else holds. A
+   task settles those that it can see itself, without their content leaving it; the rest meet by two
+   64-bit keys of the content. Only distinct segments reach the shards, by anchor; a shard's index then
+   finds the first occurrence of each window among them.
    Segments of anchors with more than HOT distinct ones are cut into single windows, folded in the same
    way and dealt by the window, so no shard holds a hot anchor.
 
@@ -82,29 +83,68 @@ def repeated_anchors(docs: DataFrame, rules: Rules) -> np.ndarray:
     return bitmap(found.where("a <> b or twice"), "anchor", BITMAP_BITS)
 
 
-def _segment_rows(rules: Rules, shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Distinct segments that a task remembers; beyond it the memory starts anew, which only sends more rows on.
+REMEMBERED = 1 << 19
+_SEGMENT = "anchor long, k1 long, k2 long, id long, tag long, starts array<long>, windows int, body binary"
+
+
+class _Seen:
+    """Least (id, start) of the segments that a task has met, by key."""
+
+    def __init__(self):
+        self.table = S.HashTable(20)
+        self.id, self.start, self.k2 = (np.zeros(REMEMBERED * 2, t) for t in (np.int64, np.int64, np.uint64))
+
+    def split(self, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, start: np.ndarray, same_document: bool) -> np.ndarray:
+        """Flags of occurrences beyond an earlier one that the task knows; remembers the rest."""
+        if self.table.size > REMEMBERED or self.table.size + len(k1) > len(self.id):
+            self.__init__()
+        if len(k1) > len(self.id):
+            return np.zeros(len(k1), bool)
+        order = np.lexsort((start, ids, k1))
+        new = np.ones(len(order), bool)
+        new[1:] = k1[order][1:] != k1[order][:-1]
+        group = np.cumsum(new) - 1
+        first = order[np.flatnonzero(new)]
+        number = self.table.find(k1[first])
+        unknown = np.flatnonzero(number < 0)
+        number[unknown] = self.table.size + np.arange(len(unknown))
+        self.table.add(k1[first[unknown]])
+        at = number[unknown]
+        self.id[at], self.start[at], self.k2[at] = ids[first[unknown]], start[first[unknown]], k2[first[unknown]]
+        before = (ids[first] < self.id[number]) | ((ids[first] == self.id[number]) & (start[first] < self.start[number]))
+        self.id[number[before]], self.start[number[before]] = ids[first[before]], start[first[before]]
+        of = np.empty(len(order), np.int64)
+        of[order] = number[group]
+        later = ids > self.id[of]
+        if same_document:
+            later |= (ids == self.id[of]) & (start > self.start[of])
+        return later & (k2 == self.k2[of])
+
+
+def _segment_rows(rules: Rules, shipped, same_document: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value
         least: dict[int, int] = {}
+        memory = _Seen()
         for batch in batches:
             ids, tags = batch["id"].to_numpy(), batch["tag"].to_numpy()
             for lo, hi, data, off in S.text_blocks(batch["text"]):
                 values, first = rules.split(data, off)
-                n = len(values)
                 fresh = np.zeros(hi - lo, bool)
                 for k in range(lo, hi):
                     seen = least.get(int(tags[k]))
                     if seen is None or ids[k] < seen:
                         least[int(tags[k])] = int(ids[k])
                         fresh[k - lo] = True
-                if n < rules.window:
+                if len(values) < rules.window:
                     continue
-                grams = S.SpanHash(values).fixed(rules.gram)
+                spans = S.SpanHash(values)
+                grams = spans.fixed(rules.gram)
                 packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
                 anchor = (S.window_min(packed, rules.window - rules.gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                size = np.diff(first)
-                owner = np.repeat(np.arange(hi - lo), np.maximum(size - rules.window + 1, 0) * fresh)
-                windows = S.ragged(first[:-1], np.maximum(size - rules.window + 1, 0) * fresh)
+                count = np.maximum(np.diff(first) - rules.window + 1, 0) * fresh
+                owner, windows = np.repeat(np.arange(hi - lo), count), S.ragged(first[:-1], count)
                 anchor = anchor[windows]
                 good = in_bitmap(table, grams[anchor], BITMAP_BITS)
                 windows, anchor, owner = windows[good], anchor[good], owner[good]
@@ -114,29 +154,44 @@ def _segment_rows(rules: Rules, shipped) -> Callable[[Iterator[pa.RecordBatch]],
                 new[1:] = (np.diff(windows) != 1) | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
                 at = np.flatnonzero(new)
                 count = np.diff(np.append(at, len(windows)))
-                start, owner = windows[at], owner[at]
+                start, owner, anchor = windows[at], owner[at], grams[anchor[at]]
                 length = count + rules.window - 1
-                rows = rules.payload(data, values)
-                cut = np.zeros(len(at) + 1, np.int32)
-                np.cumsum(length * rules.width, out=cut[1:])
-                body = rows[S.ragged(start, length)]
+                k1, k2 = spans(start, start + length), S.SpanHash(S.mix(values ^ np.uint64(0xD1B54A32D192ED03)))(start, start + length)
+                place = start - first[owner]
+                later = memory.split(k1, k2, ids[lo + owner], place, same_document)
+                # what stays is one row for each text and content, with all its places
+                order = np.lexsort((place, k1, owner))
+                order = np.concatenate([order[~later[order]], order[later[order]]])
+                joins = np.zeros(len(order), bool)
+                joins[1:] = (k1[order][1:] == k1[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (later[order][1:] == later[order][:-1])
+                head = np.flatnonzero(~joins)
+                row = order[head]
+                body_length = np.where(later[row], 0, length[row] * rules.width)
+                cut = np.zeros(len(row) + 1, np.int32)
+                np.cumsum(body_length, out=cut[1:])
+                kept = row[~later[row]]
+                body = rules.payload(data, values)[S.ragged(start[kept], length[kept])]
+                whole = pa.array(later[row])
+                bodies = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(body))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(S.signed(grams[anchor[at]])),
-                        pa.array(ids[lo + owner]),
-                        pa.array(tags[lo + owner]),
-                        pa.array(start - first[owner]),
-                        pa.array(count, pa.int32()),
-                        pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(body))]),
+                        pa.array(S.signed(anchor[row])),
+                        pa.array(S.signed(k1[row])),
+                        pa.array(S.signed(k2[row])),
+                        pa.array(ids[lo + owner[row]]),
+                        pa.array(tags[lo + owner[row]]),
+                        S.list_column(place[order], np.diff(np.append(head, len(order))), pa.int64()),
+                        pa.array(count[row], pa.int32()),
+                        pa.compute.if_else(whole, pa.scalar(None, pa.binary()), bodies),
                     ],
-                    ["anchor", "id", "tag", "start", "windows", "body"],
+                    [f.split(" ")[0] for f in _SEGMENT.split(", ")],
                 )
 
     return made
 
 
 def _single_windows(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments cut into one row for each of their windows."""
+    """Segments cut into one row for each of their windows: id, tag, starts, step, body."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,58 +202,71 @@ def _single_windows(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             span = rules.window * rules.width
             body = data[S.ragged(off[:-1][row] + step * rules.width, np.full(len(row), span))]
             cut = np.arange(len(row) + 1, dtype=np.int32) * span
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["anchor"].take(pa.array(row)),
-                    batch["id"].take(pa.array(row)),
-                    batch["tag"].take(pa.array(row)),
-                    pa.array(batch["start"].to_numpy()[row] + step),
-                    pa.array(np.ones(len(row), np.int32)),
-                    pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(body))]),
-                ],
-                ["anchor", "id", "tag", "start", "windows", "body"],
-            )
+            bodies = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(body))])
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(row)) for c in ("anchor", "id", "tag", "starts")), pa.array(step), bodies], ["anchor", "id", "tag", "starts", "step", "body"])
 
     return made
 
 
 def _folded(segments: DataFrame, rules: Rules, same_document: bool) -> tuple[DataFrame, DataFrame]:
-    """Distinct segments with their least (id, start), and spans of all occurrences beyond the least."""
-    keyed = segments.withColumn("key", F.xxhash64("body", "anchor")).withColumn("key2", F.xxhash64(F.lit(1), "body"))
-    distinct = keyed.groupBy("key", "key2").agg(
-        F.min(F.struct("id", "start", "tag")).alias("least"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("body").alias("body")
-    )
-    distinct = S.written(distinct.select("key", "key2", "anchor", "least.*", "windows", "body"), "distinct")
-    least = distinct.select("key", "key2", F.col("id").alias("least_id"), F.col("start").alias("least_start"))
-    later = F.col("id") > F.col("least_id")
+    """Segments that no equal one precedes (written), and spans of those that one does. Equal means both keys."""
+    least = segments.groupBy("k1", "k2").agg(F.min(F.struct("id", F.element_at("starts", 1).alias("start"))).alias("least"))
+    later = F.col("id") > F.col("least.id")
     if same_document:
-        later = later | ((F.col("id") == F.col("least_id")) & (F.col("start") > F.col("least_start")))
-    spans = keyed.drop("body").join(least, ["key", "key2"]).where(later)
-    return distinct, spans.select("id", "tag", "start", (F.col("start") + F.col("windows") + rules.window - 1).alias("stop"))
+        later = later | ((F.col("id") == F.col("least.id")) & (F.element_at("starts", 1) > F.col("least.start")))
+    marked = segments.join(least, ["k1", "k2"]).select("anchor", "id", "tag", "starts", "windows", F.when(~later, F.col("body")).alias("body"))
+    marked = S.written(marked, "folded")
+    return marked.where("body is not null"), _exploded(marked.where("body is null"), F.lit(0), F.col("windows"), rules)
+
+
+def _exploded(rows: DataFrame, begin, windows, rules: Rules) -> DataFrame:
+    """id, tag, start, stop of a run of windows at each of a row's starts."""
+    spans = rows.select("id", "tag", begin.alias("b"), (begin + windows + rules.window - 1).alias("e"), F.explode("starts").alias("s"))
+    return spans.select("id", "tag", (F.col("s") + F.col("b")).cast("long").alias("start"), (F.col("s") + F.col("e")).cast("long").alias("stop"))
+
+
+#: Anchors that are broadcast at most when hot ones are set apart; more are joined.
+FEW = 100_000
 
 
 def repeated_spans(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Table], same_document: bool) -> DataFrame:
-    """id, tag, start, stop (symbols): windows that also start earlier, for each text but later copies of a text.
+    """id, tag, spans (array of start, stop; symbols): windows that also start earlier, for each text but its later copies.
 
-    ``docs`` has id (long), tag (long, of the text) and text. ``shard`` maps a table of id, tag, start,
-    windows, body to id, tag, start, stop. Earlier means a smaller id or, with ``same_document``, an earlier
-    start in the same document too.
+    ``docs`` has id (long), tag (long, of the text) and text. ``shard`` maps a table of id, tag, starts,
+    windows, body, in order of (id, first start), to id, tag, starts, begin, windows. Earlier means a smaller
+    id or, with ``same_document``, an earlier start in the same document too.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, rules))
-    schema = "anchor long, id long, tag long, start long, windows int, body binary"
-    segments = S.written(docs.select("id", "tag", "text").mapInArrow(_segment_rows(rules, shipped), schema), "segments")
-    distinct, whole = _folded(segments, rules, same_document)
-    size = F.sum(F.length("body")) / rules.width
-    symbols = distinct.agg(size).first()[0]
-    hot = distinct.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
-    marked = distinct.select("anchor", "id", "tag", "start", "windows", "body").join(hot, "anchor", "left")
-    shards = max(1, round((symbols or 0) / rules.shard_symbols))
-    single, again = _folded(marked.where("hot").select(*segments.columns).mapInArrow(_single_windows(rules), schema), rules, same_document)
-    columns = ["id", "tag", "start", "windows", "body"]
-    plain = marked.where("hot is null").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *columns)
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(repeated_anchors(docs, rules))
+    S.release(spark)
+    segments = S.written(docs.select("id", "tag", "text").mapInArrow(_segment_rows(rules, shipped, same_document), _SEGMENT), "segments")
+    at_once = _exploded(segments.where("body is null"), F.lit(0), F.col("windows"), rules)
+    distinct, whole = _folded(segments.where("body is not null"), rules, same_document)
+    S.release(spark)
+    symbols = distinct.agg(F.sum(F.length("body")) / rules.width).first()[0] or 0
+    shards = max(1, round(symbols / rules.shard_symbols))
+    hot = S.cut(distinct.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"))
+    hot = F.broadcast(hot) if hot.count() <= FEW else hot
+    single = distinct.join(hot, "anchor", "left_semi").mapInArrow(_single_windows(rules), "anchor long, id long, tag long, starts array<long>, step long, body binary")
+    moved = F.transform("starts", lambda s: s + F.col("step"))
+    keys = F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2")
+    single, again = _folded(single.select("anchor", *keys, "id", "tag", moved.alias("starts"), F.lit(1).alias("windows"), "body"), rules, same_document)
+    columns = ["id", "tag", "starts", "windows", "body"]
+    plain = distinct.join(hot, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *columns)
     alone = single.select(F.pmod(F.xxhash64("body"), F.lit(shards)).alias("shard"), *columns)
-    found = plain.unionByName(alone).groupBy("shard").applyInArrow(lambda t: shard(t.sort_by([("id", "ascending"), ("start", "ascending")])), "id long, tag long, start long, stop long")
-    return whole.unionByName(again).unionByName(found)
+
+    def ordered(table: pa.Table) -> pa.Table:
+        starts = table["starts"].combine_chunks()
+        first = starts.values.take(starts.offsets[:-1])
+        order = np.lexsort((first.to_numpy(), table["id"].to_numpy()))
+        return shard(table.take(pa.array(order)))
+
+    found = plain.unionByName(alone).groupBy("shard").applyInArrow(ordered, "id long, tag long, starts array<long>, begin long, windows long")
+    every = at_once.unionByName(whole).unionByName(again).unionByName(_exploded(found, F.col("begin"), F.col("windows"), rules))
+    spans = S.written(every.groupBy("id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
+    for table in (segments, distinct, single):
+        S.removed(table)
+    return spans
 
 
 def windows_of(table: pa.Table, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,17 +277,16 @@ def windows_of(table: pa.Table, rules: Rules) -> tuple[np.ndarray, np.ndarray, n
 
 
 def span_table(table: pa.Table, rules: Rules, segment: np.ndarray, place: np.ndarray, gone: np.ndarray) -> pa.Table:
-    """Runs of windows that are ``gone`` as id, tag, start, stop; windows are in order."""
+    """Runs of windows that are ``gone`` as id, tag, starts, begin, windows; windows are in order."""
     _, off = S.utf8(table["body"].combine_chunks())
-    start = table["start"].to_numpy()[segment] + place - (off[:-1] // rules.width)[segment]
+    step = place - (off[:-1] // rules.width)[segment]
     at = np.flatnonzero(gone)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (np.diff(segment[at]) != 0)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    rows = pa.array(segment[at[first]] if len(at) else np.zeros(0, np.int64))
-    begin, end = (start[at[first]], start[at[last]] + rules.window) if len(at) else (np.zeros(0, np.int64),) * 2
-    return pa.table({"id": table["id"].take(rows), "tag": table["tag"].take(rows), "start": pa.array(begin, pa.int64()), "stop": pa.array(end, pa.int64())})
+    count = np.diff(np.append(first, len(at)))
+    rows = pa.array(segment[at[first]], pa.int64())
+    return pa.table({**{c: table[c].take(rows) for c in ("id", "tag", "starts")}, "begin": pa.array(step[at[first]], pa.int64()), "windows": pa.array(count, pa.int64())})
 
 
 def with_spans(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Table], same_document: bool) -> DataFrame:
@@ -227,7 +294,8 @@ def with_spans(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Tab
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S.NULL_ID)).alias("id")).withColumn(
         "tag", F.xxhash64("text")
     )
-    spans = repeated_spans(keyed, rules, shard, same_document).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(keyed, rules, shard, same_document)
+    S.release(docs.sparkSession)  # all frames of the search are gone, and with them the need for their shuffle files
     rows = keyed.select("id", "tag", F.xxhash64(F.lit(1), "text").alias("tag2"))
     first = rows.groupBy("tag", "tag2").agg(F.min("id").alias("first"))
     copies = rows.join(first, ["tag", "tag2"]).where("id > first").select("id", "tag", F.lit(True).alias("copy")).distinct()

@@ -6,7 +6,9 @@ in blocks of bounded size, so that no step runs per row or per word in the inter
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,6 +61,14 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of frames that are gone now rather than some time later."""
+    for _ in range(2):  # the cleaner learns of a shuffle after a collection, and of what only that held after the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def crc_mod(column: str, by: int):
     """crc32 of a column as text, modulo by; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

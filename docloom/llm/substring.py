@@ -32,7 +32,9 @@ def _split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return S.SpanHash(S.BYTE_VALUE[data])(start, end), first
 
 
-RULES = R.Rules(WINDOW, GRAM, _split, 500_000, 8, lambda data, values: values.view(np.uint8).reshape(-1, 8))
+#: Bytes of a word's hash that segments carry. Windows of one anchor would have to agree in all other words for a clash to show.
+WIDTH = 5
+RULES = R.Rules(WINDOW, GRAM, _split, 500_000, WIDTH, lambda data, values: values.view(np.uint8).reshape(-1, 8)[:, :WIDTH])
 
 
 class BitRow:
@@ -136,8 +138,9 @@ class FMIndex:
 def shard(table: pa.Table) -> pa.Table:
     """Spans of windows that start in an earlier document, of a shard in order of (id, start)."""
     data, segment, place = R.windows_of(table, RULES)
-    hashes = data.view(np.uint64) if data.ctypes.data % 8 == 0 else np.frombuffer(data.tobytes(), np.uint64)
-    symbol = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
+    hashes = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    hashes[:, :WIDTH] = data.reshape(-1, WIDTH)
+    symbol = np.unique(hashes.view(np.uint64).ravel(), return_inverse=True)[1].astype(np.int64) + 1
     count = table["windows"].to_numpy().astype(np.int64)
     length = count + WINDOW - 1
     begin = np.cumsum(length) - length
