@@ -90,9 +90,8 @@ def bucket_order(at: np.ndarray, seven: np.ndarray, ranks: np.ndarray) -> np.nda
     return out
 
 
-def same_start(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the first ``depth`` bytes at a and b agree; both have as many."""
-    eight = leading(data, 8)
+def same_start(eight: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the first ``depth`` bytes at a and b agree; both have as many. ``eight`` has the next 8 bytes of each position."""
     out = np.ones(len(a), bool)
     alive = np.arange(len(a))
     for k in [*range(0, depth - 7, 8), depth - 8]:
@@ -104,7 +103,7 @@ def same_start(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np
 
 def repeated_windows(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """Flags of window starts (sorted) whose window has an earlier equal among them."""
-    seven = leading(data, PERIOD)
+    seven, eight = leading(data, PERIOD), leading(data, 8)
     ranks = cover_ranks(data, seven, window)
     gone = np.zeros(len(data), bool)
     head = data[at]
@@ -112,7 +111,7 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarra
         suffixes = bucket_order(at[head == value], seven, ranks)
         if len(suffixes) < 2:
             continue
-        new = np.append(True, ~same_start(data, suffixes[:-1], suffixes[1:], window))
+        new = np.append(True, ~same_start(eight, suffixes[:-1], suffixes[1:], window))
         least = np.minimum.reduceat(suffixes, np.flatnonzero(new))
         gone[suffixes] = suffixes != least[np.cumsum(new) - 1]
     return gone[at]
