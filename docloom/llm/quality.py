@@ -93,12 +93,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [np.unique(f[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
             sizes = np.array([len(k) for k, _ in parts])
             yield pa.RecordBatch.from_arrays(
-                [batch["label"].slice(lo, hi - lo), batch["k"].slice(lo, hi - lo), S.list_column(np.concatenate([k for k, _ in parts]), sizes, pa.int64()), S.list_column(np.concatenate([c for _, c in parts]), sizes, pa.int64())],
+                [batch["label"].slice(lo, hi - lo), batch["k"].slice(lo, hi - lo), S.list_column(np.concatenate([k for k, _ in parts]), sizes, pa.int32()), S.list_column(np.concatenate([c for _, c in parts]), sizes, pa.int32())],
                 ["label", "k", "at", "n"],
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, train_bytes: int = 65536, epochs: int = 3) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, train_bytes: int = 65536, epochs: int = 3) -> np.ndarray:
     """Weights by bucket, the bias last. ``labels`` has doc_id and label; rows to hold out must be gone from it."""
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, train_bytes
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(F.broadcast(picked), "doc_id")
     rows = (
         texts.select(F.col("label").cast("long").alias("label"), F.xxhash64("doc_id", F.lit(7)).alias("k"), "text")
-        .mapInArrow(_counted, "label long, k long, at array<long>, n array<long>")
+        .mapInArrow(_counted, "label long, k long, at array<int>, n array<int>")
         .toArrow()
     )
     rows = rows.take(np.argsort(rows["k"].to_numpy(), kind="stable"))
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, train_bytes
     seen = {c: max(1, int((label == c).sum())) for c in (0, 1)}
     weight = {c: total[c] / share * len(label) / seen[c] for c in (0, 1)}
     model = Ftrl((1 << BITS) + 1)
-    bias = np.array([1 << BITS])
+    bias = np.array([1 << BITS], np.int32)
     lists = [(np.append(a.values.to_numpy(), bias), b.values.to_numpy()) for a, b in zip(rows["at"], rows["n"], strict=True)]
     for _ in range(epochs):
         for (at, n), y in zip(lists, label, strict=True):
