@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             _encoders[tokenizer_path] = WordIds(tokenizer_path)
         encoder, seen = _encoders[tokenizer_path], 0
         for batch in batches:
-            for lo, hi, data, off in S.text_blocks(batch["text"], 4 * S.BLOCK_BYTES):
+            for lo, hi, data, off in S.text_blocks(batch["text"], 2 * S.BLOCK_BYTES):
                 ids, first = encoder.encode(data, off)
                 n = np.diff(first) + 1
                 flat = np.full(int(n.sum()), end_id, "<u4")
