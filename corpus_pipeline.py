@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import entries, packing, pii, quality, shared, simhash, winnow
+from docloom.llm import entries, packing, pii, quality, resemble, shared, simhash, winnow
 
 ORACLE_SQL = None
 #: Documents that score less are rejected.
@@ -25,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one of least id."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each group of near-copies (five-word Jaccard similarity of 0.8 or more), the one of least id."""
+    return simhash.one_of_each(docs, resemble.near_copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

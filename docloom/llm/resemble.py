@@ -1,0 +1,211 @@
+"""Near-copies by the exact resemblance of five-word shingles, for the pipeline's near-dedup stage.
+
+Two texts are near-copies if the Jaccard similarity of their sets of shingles is 0.8 or more; groups are the
+components of those pairs. No pair is missed: with shingles in any one order for all texts, two such sets of
+n and m share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 of theirs. The order is by the
+power of two of a rough count (a table of COUNTERS sums of the occurrences of shingles that fall together),
+rare ones first, so that common passages seldom bring texts together.
+
+Equal sets fold into one. Texts that share a leading shingle are compared in two rounds: first each with
+the least of them (one such for each set, then the others), then those pairs of them that are not in one
+component yet. A pair is passed over only
+if its sizes, or its leading shingles in common, rule the similarity out, and is confirmed by its whole
+sets. Hashes of 64 bits stand for sets and their shingles, of 58 for leading ones.
+
+Defined cases: a text of fewer than five words has one shingle, null and empty texts have none and are near-
+copies of one another; words are split at ASCII white space and lowered in ASCII.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.llm import shared as S
+from docloom.llm.simhash import components
+from docloom.llm.winnow import bitmap, in_bitmap
+
+SHINGLE = 5
+#: Similarity from which texts are near-copies, as a fraction.
+UP, DOWN = 4, 5
+COUNTERS = 1 << 18
+#: Bits of the maps of leading shingles that several sets have, and of sets that are fetched; full ones let more through.
+MET_BITS, SETS_BITS = 27, 24
+
+
+def sets_block(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, keys): distinct shingles of each document in ascending order, their number, a hash of the set."""
+    low = S.LOWER[data]
+    start, end, first = S.words(low, off, S.NOT_SPACE)
+    n = np.diff(first)
+    count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
+    begin = S.ragged(first[:-1], count)
+    word = S.SpanHash(S.BYTE_VALUE[low])(start, end)
+    hashes = S.SpanHash(word)(begin, begin + np.repeat(np.minimum(n, SHINGLE), count))
+    doc = np.repeat(np.arange(len(n)), count)
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    hashes, doc = hashes[new], doc[new]
+    count = np.bincount(doc, minlength=len(n)).astype(np.int64)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(S.mix(hashes), out=sums[1:])
+    upto = np.cumsum(count)
+    return hashes, count, S.mix(sums[upto] - sums[upto - count] + count.astype(np.uint64))
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def keys(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The carried columns, key (a hash of the set of shingles) and n (its size) of every row; map only."""
+    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry), "key long, n long"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in S.text_blocks(batch["text"]):
+                _, count, key = sets_block(data, off)
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(lo, hi - lo) for c in carry), pa.array(S.signed(key)), pa.array(count)], [*carry, "key", "n"])
+
+    return docs.select(*carry, "text").mapInArrow(made, schema)
+
+
+def rough_counts(docs: DataFrame) -> np.ndarray:
+    """COUNTERS sums of the shingles' occurrences."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, data, off in S.text_blocks(batch["text"]):
+                sums += np.bincount(_slot(sets_block(data, off)[0]), minlength=COUNTERS)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["slot", "n"])
+
+    found = docs.select("text").mapInArrow(made, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def leading(docs: DataFrame, counts: np.ndarray, met: np.ndarray | None = None) -> DataFrame:
+    """token, key, n, last: the shingles, rare ones first, of which near-copies share one; map only.
+
+    Tokens are the places in the order, ``last`` is a set's greatest leading one; those not in the bitmap ``met`` are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((np.minimum(np.log2(counts + 1), 31).astype(np.uint64), met))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, map_of_met = shared.value
+        for batch in batches:
+            for _, _, data, off in S.text_blocks(batch["text"]):
+                hashes, count, key = sets_block(data, off)
+                doc = np.repeat(np.arange(len(count)), count)
+                token = levels[_slot(hashes)] << np.uint64(58) | hashes >> np.uint64(6)
+                token = token[np.lexsort((token, doc))]
+                most = np.where(count > 0, count - -(-count * UP // DOWN) + 1, 0)
+                first = np.cumsum(count) - count
+                token, doc = token[S.ragged(first, most)], np.repeat(np.arange(len(count)), most)
+                last = token[(np.cumsum(most) - 1)[doc]]
+                if map_of_met is not None:
+                    some = in_bitmap(map_of_met, S.mix(token), MET_BITS)
+                    token, doc, last = token[some], doc[some], last[some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(S.signed(token)), pa.array(S.signed(S.mix(token))), pa.array(S.signed(key[doc])), pa.array(count[doc]), pa.array(S.signed(last))],
+                    ["token", "mixed", "key", "n", "last"],
+                )
+
+    return docs.select("text").mapInArrow(made, "token long, mixed long, key long, n long, last long")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n, shingles of the sets whose key is wanted (and of few others: a bitmap picks them), one row each."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "key", SETS_BITS))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in S.text_blocks(batch["text"]):
+                hashes, count, key = sets_block(data, off)
+                mine = np.unique(key, return_index=True)[1]
+                mine = mine[in_bitmap(shared.value, key[mine], SETS_BITS)]
+                held = hashes[S.ragged((np.cumsum(count) - count)[mine], count[mine])]
+                yield pa.RecordBatch.from_arrays([pa.array(S.signed(key[mine])), pa.array(count[mine]), S.list_column(S.signed(held), count[mine], pa.int64())], ["key", "n", "shingles"])
+
+    return docs.select("text").mapInArrow(made, "key long, n long, shingles array<long>").join(wanted.distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+
+def _sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs a, b with the other columns of both keys' rows."""
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(*(F.col(c).alias(side if c == "key" else f"{c}_{side}") for c in rows.columns)), side)
+    return pairs
+
+
+def hopeful(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """a, b: the pairs that their leading shingles do not rule out.
+
+    All leading shingles of the set whose last one comes first that are in the other set lead there too, so
+    its overlap is at most those in common and all of it that does not lead.
+    """
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    rest = lambda s: -F.floor(-F.col(f"n_{s}") * UP / DOWN) - 1
+    most = common + F.when(F.col("last_a") < F.col("last_b"), rest("a")).when(F.col("last_a") > F.col("last_b"), rest("b")).otherwise(F.least(rest("a"), rest("b")))
+    return _sides(pairs, heads).where(most * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP).select("a", "b")
+
+
+def fetched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The whole sets of the pairs' keys, written."""
+    out = S.written(whole_sets(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b"))), "sets")
+    S.release(docs.sparkSession)
+    return out
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the pairs (written, so that Spark knows their size) whose whole sets are as similar as they must be."""
+    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a")), "a")
+    right = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    out = S.cut(left.join(right, "b").where(DOWN * common >= UP * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"))
+    S.release(pairs.sparkSession)
+    return out
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs that the edges do not join already."""
+    roots = components(edges)
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def near_copies(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, key and root (the key that names the component) of every row."""
+    marked = S.cut(keys(docs, carry))
+    counts = rough_counts(docs)
+    met = S.cut(leading(docs, counts).groupBy("token", "mixed").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").drop("most"))
+    S.release(docs.sparkSession)
+    found = leading(docs, counts, bitmap(met, "mixed", MET_BITS)).drop("mixed")
+    shared = S.written(found.distinct().join(met.select("token", "least"), "token"), "met")
+    heads = S.cut(shared.groupBy("key", "n", "last").agg(F.collect_list("token").alias("tokens")))
+    star = shared.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    star = S.written(hopeful(star, heads), "star")
+    sets = fetched(docs, star)
+    # one least for each first, then those that are not in one component yet
+    one = S.written(star.groupBy("a").agg(F.min("b").alias("b")), "star")
+    first = confirmed(one, sets)
+    first = S.cut(first.unionByName(confirmed(S.written(_apart(star.join(one, ["a", "b"], "left_anti"), first), "star"), sets)))
+    rooted = S.cut(shared.join(components(first).withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "least", F.coalesce("root", "key").alias("root")))
+    apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    mixed = rooted.join(apart, "token")
+    left, right = mixed.select("token", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "least", "root"))), mixed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "root")))
+    # pairs with the least were tried, and sizes may rule a pair out
+    other = left.join(right, "token").where(f"key_a > key_b and key_b <> least_a and root_a <> root_b and {DOWN} * least(n_a, n_b) >= {UP} * greatest(n_a, n_b)")
+    more = S.written(hopeful(other.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), heads), "more")
+    edges = first if more.isEmpty() else S.cut(first.unionByName(confirmed(more, fetched(docs, more))))
+    roots = components(edges).withColumnRenamed("node", "key")
+    return marked.join(roots, "key", "left").select(*carry, "key", F.coalesce("root", "key").alias("root"))

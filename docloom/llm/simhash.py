@@ -18,7 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -225,10 +225,10 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, carry: tuple[str, ...] =
     return marked.join(rooted.select("fp", "root").join(ids, "root"), "fp").select(*carry, "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """The rows and columns of the least id (null last; of its texts, one by hash) of each component."""
+def one_of_each(docs: DataFrame, grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows and columns of the least id (null last; of its texts, one by hash) of each component, as ``grouped`` roots it."""
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = near_duplicates(keyed.select("doc_id", "_hash", "text"), near, ("doc_id", "_hash"))
+    found = grouped(keyed.select("doc_id", "_hash", "text"), carry=("doc_id", "_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
     keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_kept"))
     stays = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")

@@ -66,3 +66,36 @@ def test_stages_take_nulls_repeats_and_nothing(spark, tmp_path):
         got = {(r.doc_id, r.text) for r in docs.collect()}
         assert got == ({(1, text), (None, "mail [EMAIL]"), (2, None)} if data else set())
         assert corpus_pipeline.run(spark, d).count() == len(got)
+
+
+def test_near_dedup_finds_all_copies_by_words(spark):
+    import random
+
+    rng = random.Random(11)
+    shared = [f"c{k}" for k in range(30)]
+    texts = [None, "", "one two", "One  two", "one three"]
+    for k in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 200))] + shared * (k % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(k % 4):
+            base = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                base[rng.randrange(len(base))] = f"new{rng.randrange(3000)}"
+            texts.append(" ".join(base))
+    base = [f"g{k}" for k in range(100)]
+    texts += [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(60)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(set(root))
+    by_bits = sorted({c for _, c in brute.simhash(list(enumerate(texts))).values()})
+    assert got != by_bits
