@@ -3,7 +3,8 @@
 The library's tokenizer is the definition; this applies the same merges, read from the same file, to
 whole arrays of words. It takes words of ASCII and Latin-1 letters and ASCII signs only, where the
 vocabulary's rules (composition, lower case, runs of letters, single digits, runs of other signs) are a
-matter of byte classes, and leaves every other word, and words with an apostrophe, to the library.
+matter of byte classes, and leaves every other word, and words with an apostrophe or the beginning of an
+added name (such as <|endoftext|>), to the library.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ def _byte_chars() -> list[str]:
 class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        #: The first two bytes (one, of a single byte) of the names that the file adds to the vocabulary.
+        self.added = sorted({t["content"].lower().encode()[:2] for t in file.get("added_tokens") or []})
         vocab, chars = model["vocab"], _byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int32)
         self.final = np.array([vocab[c + model["end_of_word_suffix"]] for c in chars], np.int32)
@@ -103,8 +107,13 @@ class Merges:
         owner = np.searchsorted(word_end, at, "right")
         taken = np.add.reduceat(bad, begins) == 0 if n else np.zeros(0, bool)
         taken[owner[length > LONGEST]] = False
-        # the end mark of special names such as <|endoftext|> makes a word the library's
-        taken[owner[(low[at] == 0x3C) & (length >= 2)]] = False
+        # a word that may hold an added name such as <|endoftext|>, anywhere in it, is the library's
+        for head in self.added:
+            here = low == head[0]
+            if len(head) > 1:
+                here[:-1] &= low[1:] == head[1]
+                here[word_end - 1] = False
+            taken[np.searchsorted(word_end, np.flatnonzero(here), "right")] = False
         use = taken[owner]
         at, length, owner = at[use], length[use], owner[use]
         rows, lengths = np.zeros((len(at), 1), np.int32), np.zeros(len(at), np.int64)

@@ -358,6 +358,19 @@ def test_words_by_merges_equal_the_library():
         assert list(ids[first[k] : first[k + 1]]) == words.tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_special_names_inside_words_equal_the_library():
+    from docloom.llm.packing import WordIds
+
+    words = WordIds(entries.tokenizer_path())
+    names = ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "<|", "<")
+    docs = [before + name + after for name in names for before in ("", "!", "end.", ")", "a", "9", "é", "x<", ".,<|") for after in ("", ".", "b", "<|endoftext|>")]
+    docs.append(" ".join(docs))
+    for t in docs:
+        raw = t.encode()
+        ids, _ = words.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert list(ids) == words.tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
+
+
 def test_hash_table():
     rng = np.random.default_rng(8)
     table, keys = S.HashTable(12), np.unique(rng.integers(0, 1 << 62, 1500, dtype=np.uint64))
