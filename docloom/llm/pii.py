@@ -2,11 +2,11 @@ r"""Personal data by bootstrapped contextual extraction; DataFrame expressions o
 
 Regular expressions find the seed entities (email, ip, card, phone). Every mention of an identifier, a
 token with a digit or an at sign and the number groups after it, stands in a context: the one and the two
-words before it. Mentions form a bipartite graph of patterns (contexts) and instances (their strings).
-Seeds score 1 for their kind; a pattern's score for a kind is the mean of its distinct instances' scores,
-an instance's score is the noisy-or of its good patterns, and ROUNDS rounds of this run as grouped
-aggregations that combine before they shuffle. Patterns with a high score and enough support then name
-mentions that no expression found.
+words before it, an earlier mention's among them. Mentions form a bipartite graph of patterns (contexts) and
+instances (their strings). Seeds score 1 for their kind; a pattern's score for a kind is the mean of its
+distinct instances' scores, an instance's score is the noisy-or of its good patterns, and ROUNDS rounds of
+this run as grouped aggregations that combine before they shuffle. Patterns with a high score and enough
+support then name mentions that no expression found.
 
 Positions come from splitting a text at its matches: the pieces' and matches' lengths in code points add
 up to starts and ends. The expressions are written so that none backtracks over a run twice or recurses
@@ -46,14 +46,15 @@ def located(text: Column, pattern: str) -> Column:
     """All matches of a pattern as array of start, end (code points), text and the tail of what stands before."""
     empty = F.array().cast("array<struct<start:int,end:int,text:string,gap:string>>")
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("p"))
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), empty.alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["pos"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        gap = F.substring(x["p"], -_NEAR, _NEAR)
+        gap = F.substring(F.concat(state["tail"], x["p"]), -_NEAR, _NEAR)
+        tail = F.substring(F.concat(gap, x["m"]), -_NEAR, _NEAR)
         item = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), gap.alias("gap"))
-        return F.when(x["m"].isNull(), state).otherwise(F.struct(end.alias("pos"), F.concat(state["out"], F.array(item)).alias("out")))
+        return F.when(x["m"].isNull(), state).otherwise(F.struct(end.alias("pos"), tail.alias("tail"), F.concat(state["out"], F.array(item)).alias("out")))
 
     # most texts have no match: one cheap test spares them the fold
     return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step)["out"]).otherwise(empty)
@@ -87,8 +88,12 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _word(gap: Column, back: int) -> Column:
-    return F.lower(F.regexp_extract(gap, rf"([^{_SPACE}]+)[{_SPACE}]+([^{_SPACE}]+)[{_SPACE}]*$", back))
+def _patterns(gap: Column) -> Column:
+    """The last word of what stands before a mention, and the last two; of fewer words, those there are."""
+    last = F.lower(F.regexp_extract(gap, rf"([^{_SPACE}]+)[{_SPACE}]*$", 1))
+    before = F.lower(F.regexp_extract(gap, rf"([^{_SPACE}]+)[{_SPACE}]+[^{_SPACE}]+[{_SPACE}]*$", 1))
+    one, two = F.when(last != "", F.concat(F.lit("1 "), last)), F.when(before != "", F.concat(F.lit("2 "), before, F.lit(" "), last))
+    return F.array_compact(F.array(one, two))
 
 
 def mentions(text: Column, base: Column) -> Column:
@@ -96,8 +101,6 @@ def mentions(text: Column, base: Column) -> Column:
 
     def made(m: Column) -> Column:
         over = F.filter(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-        last, two = _word(m["gap"], 2), F.concat_ws(" ", _word(m["gap"], 1), _word(m["gap"], 2))
-        kept = F.filter(F.array(F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), two)), lambda p: F.length(p) > 3)
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
@@ -105,7 +108,7 @@ def mentions(text: Column, base: Column) -> Column:
             F.coalesce(F.try_element_at(over, F.lit(1))["kind"], F.lit(-1)).alias("kind"),
             F.contains(m["text"], F.lit("@")).alias("at"),
             F.length(F.regexp_replace(m["text"], "[^0-9]", "")).alias("digits"),
-            kept.alias("patterns"),
+            _patterns(m["gap"]).alias("patterns"),
         )
 
     return F.transform(located(text, MENTION), made)

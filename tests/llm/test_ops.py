@@ -344,6 +344,25 @@ def test_bootstrapped_patterns_find_unseen_identifiers(spark):
     assert got[90] == "email:18:34" and got[91] == "" and got[3] == "email:18:33"
 
 
+def test_contexts_of_one_word_and_across_earlier_mentions(spark):
+    from docloom.llm.pii import find_spans, written_spans
+
+    rows = [(k, f"mail: user{k}@host{k}.org now") for k in range(12)] + [(90, "mail: user90@localhost now"), (91, "due 12/25 mail: user91@localhost now"), (92, "user92@localhost mail: user93@localhost")]
+    rows += [(100 + k, f"id{k} u{k}@h{k}.org") for k in range(3)]
+    found = find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", written_spans("spans").alias("s"))
+    got = {r.doc_id: r.s for r in found.collect()}
+    assert got[3] == "email:6:21" and got[90] == "email:6:22" and got[91] == "email:16:32" and got[92] == "email:23:39"
+
+
+def test_mentions_carry_the_words_before_them(spark):
+    from docloom.llm.pii import base_spans, mentions
+
+    texts = {"SSN 123-45-6789": [["1 ssn"]], "on 12/25 passport 99887766": [["1 on"], ["1 passport", "2 12/25 passport"]], "1a": [[]], "a b c 12": [["1 c", "2 b c"]], "x1 y2": [[], ["1 x1"]]}
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in frame.select("text", mentions(F.col("text"), base_spans(F.col("text"))).alias("m")).collect():
+        assert [list(m.patterns) for m in r.m] == texts[r.text], r.text
+
+
 def test_words_by_merges_equal_the_library():
     from docloom.llm.packing import WordIds
 
