@@ -281,6 +281,10 @@ def oracle_sql() -> dict[str, str]:
         "index_share": f"""WITH {_CHUNKS}, p AS (SELECT library_id, doc_id, count(*) AS n FROM chunks GROUP BY 1, 2)
             SELECT library_id, doc_id, round(n / sum(n) OVER (PARTITION BY library_id), 9) AS share FROM p""",
     }
+    # the same over whole tables
+    out["last_admin_all"] = out["last_admin"].replace("user_id % 60 < 12 AND ", "")
+    out["ordinal_gaps_all"] = out["ordinal_gaps"].replace(" WHERE ordinal % 19 <> 5)", ")")
+    out["soft404_resemblance_all"] = out["soft404_resemblance"].replace("item_id < 2", "item_id IS NOT NULL")
     top = out["top_headings"].removeprefix(f"WITH {_CHUNKS}, ")
     out["list_documents"] = f"""WITH {_CHUNKS}, top AS (WITH {top}), h AS (SELECT doc_id, string_agg(heading, '; ' ORDER BY place) AS headings FROM top GROUP BY 1)
         SELECT p.library_id, p.doc_id, source || '/' || p.doc_id AS title, chunk_count, coalesce(headings, '') AS headings

@@ -143,12 +143,21 @@ def site_chrome(spark: SparkSession, d: str) -> DataFrame:
     return crawl.chrome(blocks)
 
 
-def soft404_resemblance(spark: SparkSession, d: str) -> DataFrame:
+def _resemblance(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
     texts = C.table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").alias("key"), "text")
-    probes = C.table(spark, d, "benchmark").where("item_id < 2").select(F.col("item_id").alias("key"), "text")
+    probes = items.select(F.col("item_id").alias("key"), "text")
     return crawl.resemblance(crawl.bags(texts, "key"), crawl.bags(probes, "key")).select(F.col("a_key").alias("doc_id"), F.col("b_key").alias("item_id"), "shared", "resembles")
 
 
+def soft404_resemblance(spark: SparkSession, d: str) -> DataFrame:
+    return _resemblance(spark, d, C.table(spark, d, "benchmark").where("item_id < 2"))
+
+
+def soft404_resemblance_all(spark: SparkSession, d: str) -> DataFrame:
+    """As soft404_resemblance, with every item as a probe."""
+    return _resemblance(spark, d, C.table(spark, d, "benchmark").where("item_id is not null"))
+
+
 def digest_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The holder (least id) and the copies of each text."""
     held = C.table(spark, d, "documents").where("text is not null").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
@@ -253,6 +262,9 @@ def queries() -> dict[str, Query]:
         "members_listing": members_listing,
         "group_sizes": group_sizes,
         "last_admin": lambda s, d: access.last_admin_blocked(C.grants(s, d).where("user_id % 60 < 12")),
+        "last_admin_all": lambda s, d: access.last_admin_blocked(C.grants(s, d)),
+        "ordinal_gaps_all": lambda s, d: grade.ordinal_gaps(chunks(s, d)),
+        "soft404_resemblance_all": soft404_resemblance_all,
         "claim_order": lambda s, d: jobs.claim_order(all_jobs(s, d), now(C.NOW)),
         "queue_position": lambda s, d: jobs.positions(all_jobs(s, d)),
         "swept_jobs": lambda s, d: jobs.swept(all_jobs(s, d), now(C.NOW)),
