@@ -91,16 +91,15 @@ _SEGMENT = "anchor long, k1 long, k2 long, id long, tag long, starts array<long>
 class _Seen:
     """Least (id, start) of the segments that a task has met, by key."""
 
-    def __init__(self):
-        self.table = S.HashTable(20)
-        self.id, self.start, self.k2 = (np.zeros(REMEMBERED * 2, t) for t in (np.int64, np.int64, np.uint64))
+    def __init__(self, room: int = 0):
+        room = max(room, REMEMBERED * 2)
+        self.table = S.HashTable(20 if room == REMEMBERED * 2 else room.bit_length() + 1)
+        self.id, self.start, self.k2 = (np.zeros(room, t) for t in (np.int64, np.int64, np.uint64))
 
     def split(self, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, start: np.ndarray, same_document: bool) -> np.ndarray:
         """Flags of occurrences beyond an earlier one that the task knows; remembers the rest."""
         if self.table.size > REMEMBERED or self.table.size + len(k1) > len(self.id):
-            self.__init__()
-        if len(k1) > len(self.id):
-            return np.zeros(len(k1), bool)
+            self.__init__(len(k1))
         order = np.lexsort((start, ids, k1))
         new = np.ones(len(order), bool)
         new[1:] = k1[order][1:] != k1[order][:-1]

@@ -201,6 +201,16 @@ def test_hot_anchors_take_the_path_by_windows(spark, monkeypatch, fixture_dir):
     assert result(spark, "op4", fixture_dir) == brute.repeated_words(docs)
 
 
+def test_a_task_settles_repeats_in_a_block_of_any_size():
+    from docloom.llm.repeats import _Seen
+
+    n = (1 << 20) + 5
+    k = np.arange(n, dtype=np.uint64) % np.uint64(n - 3) + np.uint64(1)
+    memory = _Seen()
+    later = memory.split(k, k, np.full(n, 7), np.arange(n), True)
+    assert list(np.flatnonzero(later)) == [n - 3, n - 2, n - 1]
+
+
 def test_full_bitmaps_change_nothing(spark, monkeypatch, fixture_dir):
     from docloom.llm import winnow
 
