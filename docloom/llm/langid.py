@@ -3,8 +3,8 @@
 A text is cut into segments of SPAN bytes; in each, one recurrence runs forward and one backward over
 all bytes, and a softmax of both states labels every position. A document's probabilities are the means
 over its positions. Training is backpropagation through time with Adam on a bounded sample: for each
-language at most ``per_lang`` documents (those whose hash is least, texts of at most ``train_bytes``)
-and STEPS batches of segments.
+language at most ``per_lang`` documents (those whose hash is least, texts of at most ``train_bytes``;
+where a language has none of these, the beginnings of its longer ones) and STEPS batches of segments.
 
 Prediction is a map over whole texts without a shuffle; the network (a few tens of KB) is broadcast.
 
@@ -169,10 +169,15 @@ class Network:
         return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(off), 1)[:, None]
 
 
-def train(docs: DataFrame, per_lang: int = 150, train_bytes: int = 65536, max_langs: int = 256) -> Network:
+def train(docs: DataFrame, per_lang: int = 150, train_bytes: int = 65536) -> Network:
     """Fits a network on rows with doc_id, text and lang; rows to hold out must be gone from them."""
-    known = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text").where(F.octet_length("text") <= train_bytes)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    known = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text", (F.octet_length("text") <= train_bytes).alias("short"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("all"), F.count_if("short").alias("short")).collect()
+    # a language without a shorter text is learned from the beginnings of its long ones
+    long_ones = [r["lang"] for r in sizes if not r["short"]]
+    counts = [{"lang": r["lang"], "count": r["short"] or r["all"]} for r in sizes]
+    known = known.where(F.col("short") | F.col("lang").isin(long_ones) if long_ones else F.col("short"))
+    known = known.withColumn("text", F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, train_bytes // 4)))
     langs = sorted(r["lang"] for r in counts)
     network = Network(langs)
     if not langs:

@@ -161,6 +161,16 @@ def test_learned_labels_hold_on_held_out_rows(spark):
     assert np.mean([a == b for a, b in held]) > 0.9
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    from docloom.llm import langid
+
+    seen = []
+    monkeypatch.setattr(langid.Network, "fit", lambda self, x, used, y: seen.extend(np.unique(y)))
+    rows = [(k, f"l{k}", f"word{k} here") for k in range(300)] + [(900, "long", "ab " * 30000), (901, "l0", "cd " * 30000)]
+    network = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert set(network.langs) == {*(f"l{k}" for k in range(300)), "long"} and len(seen) == 301
+
+
 def test_texts_without_letters_or_labels(spark, fixture_dir):
     got = result(spark, "op2", fixture_dir)
     assert len(got) == len(texts()) and all(v[1:] == ("und", 0.0) for v in got.values())
