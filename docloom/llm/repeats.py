@@ -1,22 +1,19 @@
 """Routing of repeated passages to shards, shared by the two exact substring operators.
 
 Two equal windows of ``window`` symbols have the same anchor, the least hash among their ``gram``-grams
-(leftmost of equals), at the same place. So:
-
-1. a map gives each text the set of its anchors with a tag of the text; a grouped aggregation (combined
-   before the shuffle, so hot anchors cost one row a task) keeps anchors that occur in two different texts,
-   or twice in one. They set bits of a bitmap of fixed size (BITMAP_BITS), which is broadcast. A bitmap
-   that fills up lets more segments through and changes no result.
-2. a second map cuts each text into segments: runs of windows with one anchor that is in the bitmap. A
-   task emits a text that it has seen before only if its id is smaller.
-3. an occurrence of a segment beyond its least (id, start) is repeated as a whole, whatever else holds. A
-   task settles those that it can see itself, without their content leaving it; the rest meet by two
-   64-bit keys of the content. Only distinct segments reach the shards, by anchor; a shard's index then
-   finds the first occurrence of each window among them.
-   Segments of anchors with more than HOT distinct ones are cut into single windows, folded in the same
-   way and dealt by the window, so no shard holds a hot anchor.
-
-Copies of whole texts need no segments: all but the least id are repeated from end to end.
+(leftmost of equals), at the same place. Runs of windows with one anchor are segments. So:
+
+1. a map gives each row the set of its anchors; a grouped count (combined before the shuffle, so hot anchors
+   cost one row a task) keeps those of two rows, or twice in one. They set bits of a bitmap, sized from their
+   number up to MOST_BITS and broadcast. A bitmap that fills up lets more segments through and changes no result.
+2. a second map cuts each row into segments of anchors in the bitmap and gives their keys only (hash, anchor,
+   place). Equal segments fold into the first of them, in the task and then in a grouped aggregation.
+3. bodies (bytes of the text) of these distinct segments go to shards by anchor: a map fetches them by a bitmap
+   of their places or, where that would pass MOST_BITS, by a join of texts and places. Segments of anchors with more than HOT
+   distinct ones go as single windows by the window's hash, equal ones of a task as their first.
+4. a shard's index says of every window it holds whether it is the first of its kind: ``kept``. What it keeps
+   goes back to the documents, and every other window of a segment is gone. So hashes route and fold; what
+   stays is only ever said by the index.
 """
 
 from __future__ import annotations
@@ -26,295 +23,408 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import shared as S
 from docloom.llm.winnow import anchors, bitmap, in_bitmap
 
-BITMAP_BITS = 27
+#: Bits of a broadcast bitmap: at least, at most (64 MB), and for each key as long as that allows.
+LEAST_BITS, MOST_BITS, PER_KEY = 20, 29, 16
 #: Distinct segments of one anchor beyond which they are dealt out by window.
-HOT = 2000
+HOT = 10_000
+#: Rows that a task folds before it sends them on.
+BUFFER = 1 << 19
 
 
 @dataclass(frozen=True)
 class Rules:
-    """What symbols are and how long a window is. ``split`` maps bytes and offsets to (hash values, first symbol of each document)."""
+    """What symbols are and how long a window is."""
 
     window: int
     gram: int
-    split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    #: Bytes and offsets to (hash values, first symbol of each document, first and last + 1 byte of each symbol).
+    split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     #: Symbols of a shard, about.
     shard_symbols: int
-    #: Bytes of one symbol in a segment's payload.
-    width: int
-    #: Payload of a range of symbols: (bytes of the block, hash values) to an array of uint8 rows of ``width``.
-    payload: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    #: Whether an earlier start in the same document counts; if not, only a smaller id does.
+    within: bool
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """A broadcast set of 64-bit keys that may hold more than was put in; without a table it holds all."""
+
+    table: np.ndarray | None
+    bits: int
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        return np.ones(len(keys), bool) if self.table is None else in_bitmap(self.table, keys, self.bits)
+
+
+def bits_for(count: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (PER_KEY * count).bit_length()))
+
+
+def bitmap_of(keys: DataFrame, column: str, count: int) -> Bitmap:
+    bits = bits_for(count)
+    return Bitmap(bitmap(keys, column, bits), bits)
 
 
 def _anchor_rows(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in S.text_blocks(batch["text"]):
-                values, first = rules.split(data, off)
+            for _, _, data, off in S.text_blocks(batch["text"]):
+                values, first, _, _ = rules.split(data, off)
                 grams = S.SpanHash(values).fixed(rules.gram)
                 at = anchors(values, first, rules.window, rules.gram, grams)
                 owner = np.searchsorted(first, at, "right") - 1
-                key = grams[at]
+                key = S.mix(grams[at])
                 order = np.lexsort((key, owner))
                 owner, key = owner[order], key[order]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
                 at = np.flatnonzero(new)
                 times = np.diff(np.append(at, len(key)))
-                owner = owner[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(S.signed(key[at])), batch["tag"].slice(lo, hi - lo).take(pa.array(owner)), pa.array(times > 1)], ["anchor", "tag", "twice"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(S.signed(key[at])), pa.array(times > 1)], ["anchor", "twice"])
 
     return made
 
 
-def repeated_anchors(docs: DataFrame, rules: Rules) -> np.ndarray:
-    """The bitmap of anchors that occur in two texts or twice in one; ``docs`` has text and tag (long)."""
-    rows = docs.select("text", "tag").mapInArrow(_anchor_rows(rules), "anchor long, tag long, twice boolean")
-    found = rows.groupBy("anchor").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("twice").alias("twice"))
-    return bitmap(found.where("a <> b or twice"), "anchor", BITMAP_BITS)
+def repeated_anchors(docs: DataFrame, rules: Rules) -> Bitmap:
+    """The bitmap of anchors that occur in two rows or, where that counts, twice in one."""
+    rows = docs.select("text").mapInArrow(_anchor_rows(rules), "anchor long, twice boolean")
+    found = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
+    found = S.written(found.where("n > 1 or twice" if rules.within else "n > 1").select("anchor"), "anchors")
+    table = bitmap_of(found, "anchor", found.count())
+    S.removed(found)
+    return table
 
 
-#: Distinct segments that a task remembers; beyond it the memory starts anew, which only sends more rows on.
-REMEMBERED = 1 << 19
-_SEGMENT = "anchor long, k1 long, k2 long, id long, tag long, starts array<long>, windows int, body binary"
+@dataclass
+class Segments:
+    """Runs of windows of a block with one repeated anchor; ``start`` counts symbols of the block, ``place`` those of the document."""
 
+    owner: np.ndarray
+    start: np.ndarray
+    place: np.ndarray
+    windows: np.ndarray
+    anchor: np.ndarray
+    key: np.ndarray
 
-class _Seen:
-    """Least (id, start) of the segments that a task has met, by key."""
+    def take(self, at: np.ndarray) -> Segments:
+        return Segments(*(getattr(self, c)[at] for c in ("owner", "start", "place", "windows", "anchor", "key")))
 
-    def __init__(self, room: int = 0):
-        room = max(room, REMEMBERED * 2)
-        self.table = S.HashTable(20 if room == REMEMBERED * 2 else room.bit_length() + 1)
-        self.id, self.start, self.k2 = (np.zeros(room, t) for t in (np.int64, np.int64, np.uint64))
 
-    def split(self, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, start: np.ndarray, same_document: bool) -> np.ndarray:
-        """Flags of occurrences beyond an earlier one that the task knows; remembers the rest."""
-        if self.table.size > REMEMBERED or self.table.size + len(k1) > len(self.id):
-            self.__init__(len(k1))
-        order = np.lexsort((start, ids, k1))
-        new = np.ones(len(order), bool)
-        new[1:] = k1[order][1:] != k1[order][:-1]
-        group = np.cumsum(new) - 1
-        first = order[np.flatnonzero(new)]
-        number = self.table.find(k1[first])
-        unknown = np.flatnonzero(number < 0)
-        number[unknown] = self.table.size + np.arange(len(unknown))
-        self.table.add(k1[first[unknown]])
-        at = number[unknown]
-        self.id[at], self.start[at], self.k2[at] = ids[first[unknown]], start[first[unknown]], k2[first[unknown]]
-        before = (ids[first] < self.id[number]) | ((ids[first] == self.id[number]) & (start[first] < self.start[number]))
-        self.id[number[before]], self.start[number[before]] = ids[first[before]], start[first[before]]
-        of = np.empty(len(order), np.int64)
-        of[order] = number[group]
-        later = ids > self.id[of]
-        if same_document:
-            later |= (ids == self.id[of]) & (start > self.start[of])
-        return later & (k2 == self.k2[of])
-
-
-def _segment_rows(rules: Rules, shipped, same_document: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def segments(values: np.ndarray, first: np.ndarray, rules: Rules, repeated: Bitmap) -> Segments:
+    if len(values) < rules.window:
+        return Segments(*(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(2)))
+    spans = S.SpanHash(values)
+    grams = spans.fixed(rules.gram)
+    packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    anchor = (S.window_min(packed, rules.window - rules.gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    count = np.maximum(np.diff(first) - rules.window + 1, 0)
+    windows = S.ragged(first[:-1], count)
+    anchor = anchor[windows]
+    new = np.ones(len(windows), bool)
+    new[1:] = (np.diff(windows) != 1) | (anchor[1:] != anchor[:-1])
+    at = np.flatnonzero(new)
+    owner = np.repeat(np.arange(len(count)), count)[at]
+    start, runs, anchor = windows[at], np.diff(np.append(at, len(windows))), S.mix(grams[anchor[at]])
+    good = repeated.holds(anchor)
+    owner, start, runs, anchor = owner[good], start[good], runs[good], anchor[good]
+    return Segments(owner, start, start - first[owner], runs, anchor, spans(start, start + runs + rules.window - 1))
+
+
+def _second(values: np.ndarray, found: Segments, rules: Rules) -> np.ndarray:
+    """A second hash of the segments."""
+    return S.SpanHash(S.mix(values ^ np.uint64(0xD1B54A32D192ED03)))(found.start, found.start + found.windows + rules.window - 1)
+
+
+def _first_of_each(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows with the least (id, place) of each key."""
+    order = np.lexsort((place, ids, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    return order[new]
+
+
+_KEYS = {"k1": np.int64, "k2": np.int64, "anchor": np.int64, "id": np.int64, "start": np.int64, "windows": np.int32}
+
+
+def _key_rows(rules: Rules, shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shipped.value
-        least: dict[int, int] = {}
-        memory = _Seen()
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def folded() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            keep = _first_of_each(columns[0], columns[3], columns[4])
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], list(_KEYS))
+
         for batch in batches:
-            ids, tags = batch["id"].to_numpy(), batch["tag"].to_numpy()
-            for lo, hi, data, off in S.text_blocks(batch["text"]):
-                values, first = rules.split(data, off)
-                fresh = np.zeros(hi - lo, bool)
-                for k in range(lo, hi):
-                    seen = least.get(int(tags[k]))
-                    if seen is None or ids[k] < seen:
-                        least[int(tags[k])] = int(ids[k])
-                        fresh[k - lo] = True
-                if len(values) < rules.window:
-                    continue
-                spans = S.SpanHash(values)
-                grams = spans.fixed(rules.gram)
-                packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-                anchor = (S.window_min(packed, rules.window - rules.gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                count = np.maximum(np.diff(first) - rules.window + 1, 0) * fresh
-                owner, windows = np.repeat(np.arange(hi - lo), count), S.ragged(first[:-1], count)
-                anchor = anchor[windows]
-                good = in_bitmap(table, grams[anchor], BITMAP_BITS)
-                windows, anchor, owner = windows[good], anchor[good], owner[good]
-                if not len(windows):
+            ids = batch["id"].to_numpy()
+            for lo, _, data, off in S.text_blocks(batch["text"]):
+                values, first, _, _ = rules.split(data, off)
+                found = segments(values, first, rules, shipped.value)
+                if not len(found.key):
                     continue
-                new = np.ones(len(windows), bool)
-                new[1:] = (np.diff(windows) != 1) | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(new)
-                count = np.diff(np.append(at, len(windows)))
-                start, owner, anchor = windows[at], owner[at], grams[anchor[at]]
-                length = count + rules.window - 1
-                k1, k2 = spans(start, start + length), S.SpanHash(S.mix(values ^ np.uint64(0xD1B54A32D192ED03)))(start, start + length)
-                place = start - first[owner]
-                later = memory.split(k1, k2, ids[lo + owner], place, same_document)
-                # what stays is one row for each text and content, with all its places
-                order = np.lexsort((place, k1, owner))
-                order = np.concatenate([order[~later[order]], order[later[order]]])
-                joins = np.zeros(len(order), bool)
-                joins[1:] = (k1[order][1:] == k1[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (later[order][1:] == later[order][:-1])
-                head = np.flatnonzero(~joins)
-                row = order[head]
-                body_length = np.where(later[row], 0, length[row] * rules.width)
-                cut = np.zeros(len(row) + 1, np.int32)
-                np.cumsum(body_length, out=cut[1:])
-                kept = row[~later[row]]
-                body = rules.payload(data, values)[S.ragged(start[kept], length[kept])]
-                whole = pa.array(later[row])
-                bodies = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(body))])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(S.signed(anchor[row])),
-                        pa.array(S.signed(k1[row])),
-                        pa.array(S.signed(k2[row])),
-                        pa.array(ids[lo + owner[row]]),
-                        pa.array(tags[lo + owner[row]]),
-                        S.list_column(place[order], np.diff(np.append(head, len(order))), pa.int64()),
-                        pa.array(count[row], pa.int32()),
-                        pa.compute.if_else(whole, pa.scalar(None, pa.binary()), bodies),
-                    ],
-                    [f.split(" ")[0] for f in _SEGMENT.split(", ")],
-                )
+                of = ids[lo + found.owner]
+                columns = [S.signed(found.key), S.signed(_second(values, found, rules)), S.signed(found.anchor), of, found.place, found.windows.astype(np.int32)]
+                keep = _first_of_each(columns[0], of, found.place)
+                held.append([c[keep] for c in columns])
+                rows += len(keep)
+                if rows > BUFFER:
+                    yield folded()
+                    held, rows = [], 0
+        if held:
+            yield folded()
 
     return made
 
 
-def _single_windows(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments cut into one row for each of their windows: id, tag, starts, step, body."""
+def _spot(key, ids, place):
+    """Where a segment's first occurrence is looked up in a bitmap; the same in numpy and, by _spot_column, in Spark."""
+    return key ^ (ids << 40).view(np.uint64) ^ (place << 36).view(np.uint64)
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = S.utf8(batch["body"])
-            count = batch["windows"].to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), count)
-            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            span = rules.window * rules.width
-            body = data[S.ragged(off[:-1][row] + step * rules.width, np.full(len(row), span))]
-            cut = np.arange(len(row) + 1, dtype=np.int32) * span
-            bodies = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(body))])
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(row)) for c in ("anchor", "id", "tag", "starts")), pa.array(step), bodies], ["anchor", "id", "tag", "starts", "step", "body"])
 
-    return made
+def _spot_column():
+    return F.col("k1").bitwiseXOR(F.shiftleft("id", 40)).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 36))
+
+
+#: A row of a shard: places are (segment, its start, first window) that the body stands for.
+_BODY = "route long, id long, start long, windows int, places array<struct<k1:long,start:long,begin:int>>, body binary"
+_KEPT = "id long, k1 long, start long, begin int, windows int"
+
+
+def _body_batch(route, ids, start, windows, counts, places, data, lo, hi) -> pa.RecordBatch:
+    """Rows of _BODY; bodies are data[lo..hi]."""
+    cut = np.zeros(len(lo) + 1, np.int64)
+    np.cumsum(hi - lo, out=cut[1:])
+    body = np.ascontiguousarray(data[S.ragged(lo, hi - lo)])
+    k1, at, begin = places
+    items = pa.StructArray.from_arrays([pa.array(S.signed(k1)), pa.array(at), pa.array(begin.astype(np.int32))], ["k1", "start", "begin"])
+    off = np.zeros(len(lo) + 1, np.int32)
+    np.cumsum(counts, out=off[1:])
+    bodies = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(body)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(S.signed(route)), pa.array(ids), pa.array(start), pa.array(windows.astype(np.int32)), pa.ListArray.from_arrays(pa.array(off), items), bodies],
+        ["route", "id", "start", "windows", "places", "body"],
+    )
+
+
+class _Singles:
+    """Single windows of hot anchors that a task holds back: of equal ones, those of the first document or place."""
+
+    def __init__(self, rules: Rules):
+        self.rules = rules
+        self.held: list[list[np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, found: Segments, ids: np.ndarray, values: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        segment = np.repeat(np.arange(len(found.key)), found.windows)
+        step = np.arange(len(segment)) - np.repeat(np.cumsum(found.windows) - found.windows, found.windows)
+        at = found.start[segment] + step
+        key = S.SpanHash(values)(at, at + self.rules.window)
+        place = found.place[segment] + step
+        self._hold([key, ids[segment], place, found.key[segment], found.place[segment], step], data, begin[at], end[at + self.rules.window - 1])
+
+    def _hold(self, columns: list[np.ndarray], data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        keep = self._firsts(*columns[:3])
+        lo, hi = lo[keep], hi[keep]
+        self.held.append([*(c[keep] for c in columns), data[S.ragged(lo, hi - lo)], hi - lo])
+        self.rows += len(keep)
+
+    def _firsts(self, key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        order = np.lexsort((place, ids, key))
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        if self.rules.within:
+            return order[new]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        return order[ids[order] == ids[order][head]]
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        *columns, data, size = columns
+        self.held, self.rows = [], 0
+        hi = np.cumsum(size)
+        order = self._firsts(*columns[:3])
+        key, ids, place, k1, start, step = (c[order] for c in columns)
+        new = np.ones(len(order), bool)
+        new[1:] = key[1:] != key[:-1]
+        head = np.flatnonzero(new)
+        counts = np.diff(np.append(head, len(order)))
+        row = order[head]
+        yield _body_batch(key[head], ids[head], place[head], np.ones(len(head), np.int64), counts, (k1, start, step), data, hi[row] - size[row], hi[row])
 
 
-def _folded(segments: DataFrame, rules: Rules, same_document: bool) -> tuple[DataFrame, DataFrame]:
-    """Segments that no equal one precedes (written), and spans of those that one does. Equal means both keys."""
-    least = segments.groupBy("k1", "k2").agg(F.min(F.struct("id", F.element_at("starts", 1).alias("start"))).alias("least"))
-    later = F.col("id") > F.col("least.id")
-    if same_document:
-        later = later | ((F.col("id") == F.col("least.id")) & (F.element_at("starts", 1) > F.col("least.start")))
-    marked = segments.join(least, ["k1", "k2"]).select("anchor", "id", "tag", "starts", "windows", F.when(~later, F.col("body")).alias("body"))
-    marked = S.written(marked, "folded")
-    return marked.where("body is not null"), _exploded(marked.where("body is null"), F.lit(0), F.col("windows"), rules)
+def _body_rows(rules: Rules, shipped, listed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bodies of first occurrences: those that a bitmap holds or, ``listed``, those of the column "wanted"."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, firsts, hot = shipped.value
+        singles = _Singles(rules)
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for lo, hi, data, off in S.text_blocks(batch["text"]):
+                values, first, begin, end = rules.split(data, off)
+                if listed:
+                    found = _listed(values, first, rules, batch["wanted"].slice(lo, hi - lo))
+                else:
+                    found = segments(values, first, rules, repeated)
+                    found = found.take(np.flatnonzero(firsts.holds(_spot(found.key, ids[lo + found.owner], found.place))))
+                if not len(found.key):
+                    continue
+                many = hot.holds(found.anchor) if hot is not None else np.zeros(len(found.key), bool)
+                some = found.take(np.flatnonzero(many))
+                if len(some.key):
+                    singles.add(some, ids[lo + some.owner], values, data, begin, end)
+                    if singles.rows > BUFFER:
+                        yield from singles.sent()
+                some = found.take(np.flatnonzero(~many))
+                if len(some.key):
+                    last = some.start + some.windows + rules.window - 2
+                    places = some.key, some.place, np.zeros(len(some.key), np.int64)
+                    yield _body_batch(some.anchor, ids[lo + some.owner], some.place, some.windows, np.ones(len(some.key), np.int64), places, data, begin[some.start], end[last])
+        yield from singles.sent()
 
-def _exploded(rows: DataFrame, begin, windows, rules: Rules) -> DataFrame:
-    """id, tag, start, stop of a run of windows at each of a row's starts."""
-    spans = rows.select("id", "tag", begin.alias("b"), (begin + windows + rules.window - 1).alias("e"), F.explode("starts").alias("s"))
-    return spans.select("id", "tag", (F.col("s") + F.col("b")).cast("long").alias("start"), (F.col("s") + F.col("e")).cast("long").alias("stop"))
+    return made
 
 
-#: Anchors that are broadcast at most when hot ones are set apart; more are joined.
-FEW = 100_000
+def _listed(values: np.ndarray, first: np.ndarray, rules: Rules, wanted: pa.Array) -> Segments:
+    """The wanted segments (k1, start, windows, anchor) of rows, where the row really has them."""
+    off = wanted.offsets.to_numpy().astype(np.int64)
+    items = wanted.values.slice(off[0], off[-1] - off[0])
+    owner = np.repeat(np.arange(len(wanted)), np.diff(off))
+    k1, place, runs, anchor = (items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
+    fits = np.flatnonzero(first[owner] + place + runs + rules.window - 1 <= first[owner + 1])
+    owner, k1, place, runs, anchor = owner[fits], k1[fits].view(np.uint64), place[fits], runs[fits], anchor[fits].view(np.uint64)
+    start = first[owner] + place
+    same = np.flatnonzero(S.SpanHash(values)(start, start + runs + rules.window - 1) == k1)
+    return Segments(owner, start, place, runs, anchor, k1).take(same)
 
 
-def repeated_spans(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Table], same_document: bool) -> DataFrame:
-    """id, tag, spans (array of start, stop; symbols): windows that also start earlier, for each text but its later copies.
+def kept_windows(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Table], repeated) -> DataFrame:
+    """id and kept: an array of (k1, start, begin, windows), the windows of segments that are the first of their kind.
 
-    ``docs`` has id (long), tag (long, of the text) and text. ``shard`` maps a table of id, tag, starts,
-    windows, body, in order of (id, first start), to id, tag, starts, begin, windows. Earlier means a smaller
-    id or, with ``same_document``, an earlier start in the same document too.
+    ``docs`` has id (long) and text; ``repeated`` is the broadcast bitmap of anchors. ``shard`` maps a table of
+    _BODY without route, in order of (id, start), to rows of _KEPT.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(repeated_anchors(docs, rules))
-    S.release(spark)
-    segments = S.written(docs.select("id", "tag", "text").mapInArrow(_segment_rows(rules, shipped, same_document), _SEGMENT), "segments")
-    at_once = _exploded(segments.where("body is null"), F.lit(0), F.col("windows"), rules)
-    distinct, whole = _folded(segments.where("body is not null"), rules, same_document)
-    S.release(spark)
-    symbols = distinct.agg(F.sum(F.length("body")) / rules.width).first()[0] or 0
-    shards = max(1, round(symbols / rules.shard_symbols))
-    hot = S.cut(distinct.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"))
-    hot = F.broadcast(hot) if hot.count() <= FEW else hot
-    single = distinct.join(hot, "anchor", "left_semi").mapInArrow(_single_windows(rules), "anchor long, id long, tag long, starts array<long>, step long, body binary")
-    moved = F.transform("starts", lambda s: s + F.col("step"))
-    keys = F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2")
-    single, again = _folded(single.select("anchor", *keys, "id", "tag", moved.alias("starts"), F.lit(1).alias("windows"), "body"), rules, same_document)
-    columns = ["id", "tag", "starts", "windows", "body"]
-    plain = distinct.join(hot, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *columns)
-    alone = single.select(F.pmod(F.xxhash64("body"), F.lit(shards)).alias("shard"), *columns)
+    rows = docs.select("id", "text").mapInArrow(_key_rows(rules, repeated), "k1 long, k2 long, anchor long, id long, start long, windows int")
+    least = F.min(F.struct("id", "start", "anchor", "windows")).alias("least")
+    distinct = S.written(rows.groupBy("k1", "k2").agg(least).select("k1", "least.*"), "segments")
+    number = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("windows").alias("w"))
+    more = rules.window - 1
+    size = F.when(F.col("n") > HOT, F.col("w") * rules.window).otherwise(F.col("w") + F.col("n") * more)
+    count, symbols, many = number.agg(F.sum("n"), F.sum(size), F.count(F.when(F.col("n") > HOT, 1))).first()
+    hot = bitmap_of(number.where(F.col("n") > HOT), "anchor", many) if many else None
+    shards = max(1, round((symbols or 0) / rules.shard_symbols))
+    if PER_KEY * (count or 0) <= 4 << MOST_BITS:
+        firsts = bitmap_of(distinct.select(_spot_column().alias("spot")), "spot", count or 0)
+        source, listed = docs.select("id", "text"), False
+    else:
+        wanted = distinct.groupBy("id").agg(F.collect_list(F.struct("k1", "start", "windows", "anchor")).alias("wanted"))
+        firsts, source, listed = None, docs.select("id", "text").join(wanted, "id"), True
+    bodies = source.mapInArrow(_body_rows(rules, spark.sparkContext.broadcast((repeated.value, firsts, hot)), listed), _BODY)
 
     def ordered(table: pa.Table) -> pa.Table:
-        starts = table["starts"].combine_chunks()
-        first = starts.values.take(starts.offsets[:-1])
-        order = np.lexsort((first.to_numpy(), table["id"].to_numpy()))
+        table = table.combine_chunks()
+        order = np.lexsort((table["start"].to_numpy(), table["id"].to_numpy()))
         return shard(table.take(pa.array(order)))
 
-    found = plain.unionByName(alone).groupBy("shard").applyInArrow(ordered, "id long, tag long, starts array<long>, begin long, windows long")
-    every = at_once.unionByName(whole).unionByName(again).unionByName(_exploded(found, F.col("begin"), F.col("windows"), rules))
-    spans = S.written(every.groupBy("id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
-    for table in (segments, distinct, single):
-        S.removed(table)
-    return spans
+    dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).select("shard", "id", "start", "windows", "places", "body")
+    found = dealt.groupBy("shard").applyInArrow(ordered, _KEPT)
+    kept = S.written(found, "kept")
+    S.removed(distinct)
+    return kept.groupBy("id").agg(F.collect_list(F.struct("k1", "start", "begin", "windows")).alias("kept"))
 
 
-def windows_of(table: pa.Table, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard: bytes of all bodies, the segment of each window, and each window's first symbol among all."""
+def windows_of(table: pa.Table, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard: bytes of all bodies, their symbols' values and first symbols, the segment of each window and its first symbol."""
     data, off = S.utf8(table["body"].combine_chunks())
+    values, first, _, _ = rules.split(data, off)
     count = table["windows"].to_numpy().astype(np.int64)
-    return data, np.repeat(np.arange(len(count)), count), S.ragged(off[:-1] // rules.width, count)
+    return data, values, first, np.repeat(np.arange(len(count)), count), S.ragged(first[:-1], count)
 
 
-def span_table(table: pa.Table, rules: Rules, segment: np.ndarray, place: np.ndarray, gone: np.ndarray) -> pa.Table:
-    """Runs of windows that are ``gone`` as id, tag, starts, begin, windows; windows are in order."""
-    _, off = S.utf8(table["body"].combine_chunks())
-    step = place - (off[:-1] // rules.width)[segment]
-    at = np.flatnonzero(gone)
+def kept_table(table: pa.Table, first: np.ndarray, segment: np.ndarray, place: np.ndarray, kept: np.ndarray) -> pa.Table:
+    """Runs of windows that are ``kept``, as rows of _KEPT for each of their places; windows are in order."""
+    at = np.flatnonzero(kept)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (np.diff(segment[at]) != 0)
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(at)))
-    rows = pa.array(segment[at[first]], pa.int64())
-    return pa.table({**{c: table[c].take(rows) for c in ("id", "tag", "starts")}, "begin": pa.array(step[at[first]], pa.int64()), "windows": pa.array(count, pa.int64())})
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(at)))
+    row, step = segment[at[head]], (place - first[segment])[at[head]]
+    lists = table["places"].combine_chunks()
+    off = lists.offsets.to_numpy().astype(np.int64)
+    many = np.diff(off)[row]
+    item = pa.array(S.ragged(off[row], many))
+    k1, start, begin = (lists.values.field(k).take(item) for k in range(3))
+    ids = table["id"].combine_chunks().take(pa.array(np.repeat(row, many)))
+    moved = pc.add(begin, pa.array(np.repeat(step, many).astype(np.int32)))
+    return pa.table([ids, k1, start, moved, pa.array(np.repeat(count, many).astype(np.int32))], ["id", "k1", "start", "begin", "windows"])
+
+
+def gone_symbols(values: np.ndarray, first: np.ndarray, rules: Rules, repeated: Bitmap, kept: pa.Array) -> np.ndarray:
+    """Flags of a block's symbols that a window covers which is in a segment and not kept; ``kept`` has a list for each row."""
+    found = segments(values, first, rules, repeated)
+    n = len(values)
+    if not len(found.key):
+        return np.zeros(n, bool)
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, found.start, 1)
+    np.add.at(change, found.start + found.windows, -1)
+    inside = np.cumsum(change)[:-1] > 0
+    lists = pc.fill_null(kept, []) if kept.null_count else kept
+    off = lists.offsets.to_numpy().astype(np.int64)
+    items = lists.values.slice(off[0], off[-1] - off[0])
+    if len(items):
+        of = np.repeat(np.arange(len(lists)), np.diff(off)).astype(np.uint64)
+        k1, start, begin, runs = (items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
+        key = S.mix(k1.view(np.uint64) ^ S.mix(of))
+        order = np.argsort(key, kind="stable")
+        mine = S.mix(found.key ^ S.mix(found.owner.astype(np.uint64)))
+        lo, hi = np.searchsorted(key[order], mine, "left"), np.searchsorted(key[order], mine, "right")
+        segment, item = np.repeat(np.arange(len(mine)), hi - lo), order[S.ragged(lo, hi - lo)]
+        if rules.within:
+            same = found.place[segment] == start[item]
+            segment, item = segment[same], item[same]
+        change = np.zeros(n + 1, np.int32)
+        np.add.at(change, found.start[segment] + begin[item], 1)
+        np.add.at(change, found.start[segment] + begin[item] + runs[item], -1)
+        inside &= np.cumsum(change)[:-1] == 0
+    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    change = np.zeros(n + rules.window + 1, np.int32)
+    np.add.at(change, a, 1)
+    np.add.at(change, b + rules.window - 1, -1)
+    return np.cumsum(change)[:n] > 0
+
+
+#: What is left of a block: (bytes, offsets, first, begin, end, gone) to columns after doc_id.
+Report = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]
+
+
+def without_repeats(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Table], report: Report, schema: str) -> DataFrame:
+    """doc_id and the report's columns (``schema``) of every row."""
+    spark = docs.sparkSession
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S.NULL_ID)).alias("id"))
+    repeated = spark.sparkContext.broadcast(repeated_anchors(keyed, rules))
+    kept = kept_windows(keyed, rules, shard, repeated)
+    names = ["doc_id", *(c.strip().split(" ")[0] for c in schema.split(","))]
 
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in S.text_blocks(batch["text"]):
+                values, first, begin, end = rules.split(data, off)
+                part = batch.slice(lo, hi - lo)
+                gone = gone_symbols(values, first, rules, repeated.value, part["kept"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *report(data, off, first, begin, end, gone)], names)
 
-def with_spans(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Table], same_document: bool) -> DataFrame:
-    """doc_id, text, copy (an earlier document has the very text), spans (null if none) of every row."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S.NULL_ID)).alias("id")).withColumn(
-        "tag", F.xxhash64("text")
-    )
-    spans = repeated_spans(keyed, rules, shard, same_document)
-    S.release(docs.sparkSession)  # all frames of the search are gone, and with them the need for their shuffle files
-    rows = keyed.select("id", "tag", F.xxhash64(F.lit(1), "text").alias("tag2"))
-    first = rows.groupBy("tag", "tag2").agg(F.min("id").alias("first"))
-    copies = rows.join(first, ["tag", "tag2"]).where("id > first").select("id", "tag", F.lit(True).alias("copy")).distinct()
-    found = spans.join(copies, ["id", "tag"], "full")
-    return keyed.join(found, ["id", "tag"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
-
-
-def covered(spans: pa.Array, copy: pa.Array, size: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """Flags of the symbols (all documents in a row) that spans cover; a copy of a window's length is covered throughout."""
-    total = int(first[-1])
-    change = np.zeros(total + 1, np.int32)
-    lists = pa.compute.fill_null(spans, []) if spans.null_count else spans
-    off = lists.offsets.to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(lists)), np.diff(off))
-    values = lists.values
-    if len(row):
-        start, stop = (values.field(k).to_numpy(zero_copy_only=False)[off[0] : off[-1]] for k in (0, 1))
-        np.add.at(change, first[row] + start, 1)
-        np.add.at(change, first[row] + stop, -1)
-    whole = np.flatnonzero(copy.to_numpy(zero_copy_only=False) & (size >= window))
-    np.add.at(change, first[whole], 1)
-    np.add.at(change, first[whole + 1], -1)
-    return np.cumsum(change)[:-1] > 0
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed.join(kept, "id", "left").select("doc_id", "text", "kept").mapInArrow(done, f"doc_id {kind}, {schema}")

@@ -15,8 +15,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +25,12 @@ from docloom.llm import shared as S
 WINDOW, GRAM = 13, 4
 
 
-def _split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, first = S.words(data, off, S.NOT_SPACE)
-    return S.SpanHash(S.BYTE_VALUE[data])(start, end), first
+    return S.SpanHash(S.BYTE_VALUE[data])(start, end), first, start, end
 
 
-#: Bytes of a word's hash that segments carry. Windows of one anchor would have to agree in all other words for a clash to show.
-WIDTH = 5
-RULES = R.Rules(WINDOW, GRAM, _split, 500_000, WIDTH, lambda data, values: values.view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+RULES = R.Rules(WINDOW, GRAM, _split, 500_000, False)
 
 
 class BitRow:
@@ -136,14 +132,12 @@ class FMIndex:
 
 
 def shard(table: pa.Table) -> pa.Table:
-    """Spans of windows that start in an earlier document, of a shard in order of (id, start)."""
-    data, segment, place = R.windows_of(table, RULES)
-    hashes = np.zeros((len(data) // WIDTH, 8), np.uint8)
-    hashes[:, :WIDTH] = data.reshape(-1, WIDTH)
-    symbol = np.unique(hashes.view(np.uint64).ravel(), return_inverse=True)[1].astype(np.int64) + 1
+    """Windows that start in no earlier document, of a shard in order of (id, start)."""
+    _, values, first, segment, place = R.windows_of(table, RULES)
+    symbol = np.unique(values, return_inverse=True)[1].astype(np.int64) + 1
     count = table["windows"].to_numpy().astype(np.int64)
     length = count + WINDOW - 1
-    begin = np.cumsum(length) - length
+    begin = first[:-1]
     text = np.zeros(len(symbol) + len(count), np.int64)
     moved = begin + np.arange(len(count))
     text[S.ragged(moved, length)] = symbol
@@ -152,39 +146,24 @@ def shard(table: pa.Table) -> pa.Table:
     owner = np.append(np.repeat(np.arange(len(count)), length + 1), 0)[: len(text)]
     least = np.minimum.reduceat(ids[owner[index.suffixes]], index.class_first)
     classes = index.stream(text, moved, count)
-    gone = (classes >= 0) & (least[classes] < ids[segment])
-    return R.span_table(table, RULES, segment, place, gone)
+    return R.kept_table(table, first, segment, place, (classes < 0) | (least[classes] >= ids[segment]))
+
+
+def _report(data: np.ndarray, off: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> list[pa.Array]:
+    n = np.diff(first)
+    keep = np.flatnonzero(~gone)
+    kept = np.searchsorted(keep, first)
+    length = end[keep] - start[keep] + 1
+    to = np.zeros(len(keep) + 1, np.int64)
+    np.cumsum(length, out=to[1:])
+    flat = np.full(int(to[-1]), 32, np.uint8)
+    flat[S.ragged(to[:-1], length - 1)] = data[S.ragged(start[keep], length - 1)]
+    a, b = to[kept[:-1]], np.maximum(to[kept[1:]] - 1, to[kept[:-1]])
+    texts = [flat[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    digests = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+    return [pa.array(n), pa.array(n - np.diff(kept)), digests, pa.array(texts, pa.binary()).cast(pa.string())]
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words left, joined by spaces) digest and text of every row."""
-
-    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in S.text_blocks(batch["text"]):
-                start, end, first = S.words(data, off, S.NOT_SPACE)
-                n = np.diff(first)
-                part = batch.slice(lo, hi - lo)
-                gone = R.covered(part["spans"], part["copy"], n, first, WINDOW)
-                keep = np.flatnonzero(~gone)
-                kept = np.searchsorted(keep, first)
-                length = end[keep] - start[keep] + 1
-                to = np.zeros(len(keep) + 1, np.int64)
-                np.cumsum(length, out=to[1:])
-                flat = np.full(int(to[-1]), 32, np.uint8)
-                flat[S.ragged(to[:-1], length - 1)] = data[S.ragged(start[keep], length - 1)]
-                a, b = to[kept[:-1]], np.maximum(to[kept[1:]] - 1, to[kept[:-1]])
-                texts = [flat[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"],
-                        pa.array(n),
-                        pa.array(n - np.diff(kept)),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                        pa.array(texts, pa.binary()).cast(pa.string()),
-                    ],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return R.with_spans(docs, RULES, shard, False).mapInArrow(done, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return R.without_repeats(docs, RULES, shard, _report, "n_words long, n_removed long, kept_sha256 string, kept string")

@@ -15,8 +15,6 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +25,14 @@ from docloom.llm import shared as S
 WINDOW, GRAM = 100, 32
 PERIOD, COVER = 7, (0, 1, 3)
 
-RULES = R.Rules(WINDOW, GRAM, lambda data, off: (S.BYTE_VALUE[data], off), 1_500_000, 1, lambda data, values: data)
+
+
+def _split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    every = np.arange(len(data) + 1)
+    return S.BYTE_VALUE[data], off, every[:-1], every[1:]
+
+
+RULES = R.Rules(WINDOW, GRAM, _split, 1_500_000, True)
 
 #: For residues a and b, the least offset that brings both into the cover.
 MEET = np.array([[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)])
@@ -118,43 +123,27 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarra
 
 
 def shard(table: pa.Table) -> pa.Table:
-    """Spans of windows that occur before, of a shard in order of (id, start)."""
-    data, segment, place = R.windows_of(table, RULES)
-    return R.span_table(table, RULES, segment, place, repeated_windows(data, place, WINDOW))
+    """Windows that do not occur before, of a shard in order of (id, start)."""
+    data, _, first, segment, place = R.windows_of(table, RULES)
+    return R.kept_table(table, first, segment, place, ~repeated_windows(data, place, WINDOW))
+
+
+def _report(data: np.ndarray, off: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> list[pa.Array]:
+    n = np.diff(off)
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    edge = off[(off > 0) & (off < len(data))]
+    begins[edge] = gone[edge]
+    runs, left = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
+    np.cumsum(begins, out=runs[1:])
+    np.cumsum(~gone, out=left[1:])
+    flat = data[~gone]
+    kept = left[off]
+    texts = [flat[a:b].tobytes() for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
+    digests = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+    return [pa.array(n), pa.array(n - np.diff(kept)), pa.array(np.diff(runs[off])), digests, pa.array(texts, pa.binary())]
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row."""
-
-    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in S.text_blocks(batch["text"]):
-                part = batch.slice(lo, hi - lo)
-                n = np.diff(off)
-                gone = R.covered(part["spans"], part["copy"], n, off, WINDOW)
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1]
-                edge = off[(off > 0) & (off < len(data))]
-                begins[edge] = gone[edge]
-                runs, left = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-                np.cumsum(begins, out=runs[1:])
-                np.cumsum(~gone, out=left[1:])
-                flat = data[~gone]
-                kept = left[off]
-                texts = [flat[a:b].tobytes() for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"],
-                        pa.array(n),
-                        pa.array(n - np.diff(kept)),
-                        pa.array(np.diff(runs[off])),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                        pa.array(texts, pa.binary()),
-                    ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return R.with_spans(docs, RULES, shard, True).mapInArrow(
-        done, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    return R.without_repeats(docs, RULES, shard, _report, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

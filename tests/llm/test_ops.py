@@ -207,18 +207,52 @@ def test_hot_anchors_take_the_path_by_windows(spark, monkeypatch, fixture_dir):
     docs = table(spark, fixture_dir, "documents")
     assert result(spark, "op4", fixture_dir) == brute.repeated_words(docs)
     assert result(spark, "op10", fixture_dir) == brute.repeated_bytes(docs)
-    monkeypatch.setattr(repeats, "FEW", 0)
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_bodies_are_joined_where_a_bitmap_would_be_too_large(spark, monkeypatch, fixture_dir, hot):
+    from docloom.llm import repeats
+
+    monkeypatch.setattr(repeats, "MOST_BITS", 1)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    docs = table(spark, fixture_dir, "documents")
     assert result(spark, "op4", fixture_dir) == brute.repeated_words(docs)
+    assert result(spark, "op10", fixture_dir) == brute.repeated_bytes(docs)
 
 
-def test_a_task_settles_repeats_in_a_block_of_any_size():
-    from docloom.llm.repeats import _Seen
+def test_tasks_that_fold_often_change_nothing(spark, monkeypatch, fixture_dir):
+    from docloom.llm import repeats
+
+    for name, value in (("BUFFER", 1), ("HOT", 1)):
+        monkeypatch.setattr(repeats, name, value)
+    docs = table(spark, fixture_dir, "documents")
+    assert result(spark, "op4", fixture_dir) == brute.repeated_words(docs)
+    assert result(spark, "op10", fixture_dir) == brute.repeated_bytes(docs)
+
 
-    n = (1 << 20) + 5
-    k = np.arange(n, dtype=np.uint64) % np.uint64(n - 3) + np.uint64(1)
-    memory = _Seen()
-    later = memory.split(k, k, np.full(n, 7), np.arange(n), True)
-    assert list(np.flatnonzero(later)) == [n - 3, n - 2, n - 1]
+def test_one_document_keeps_its_own_repeats_of_words(spark, tmp_path):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, f"{passage} x {passage}"), (1, f"{passage} other"), (2, f"{passage} y {passage}"), (None, f"z {passage}")]
+    for name, data, kept in (("ids", rows[:3], {(1, 61): 0, (1, 31): 0, (2, 61): 60}), ("null", rows, {(1, 61): 60, (1, 31): 30, (2, 61): 60, (None, 31): 0})):
+        spark.createDataFrame(data, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = entries.op4_substring_dedup(spark, f"{tmp_path}/{name}").collect()
+        assert {(r.doc_id, r.n_words): r.n_removed for r in got} == kept
+
+
+def test_long_texts_across_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(320_000))
+    assert len(long) > S.BLOCK_BYTES
+    part = long[1_000_000:1_100_000]
+    rows = [(1, long), (2, long), (3, f"new {part} words"), (4, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in entries.op4_substring_dedup(spark, str(tmp_path)).collect()}
+    whole = part.split(" ")[1:-1]
+    assert words[1] == (320_000, 0) and words[2] == (320_000, 320_000) and words[4] == (1, 0)
+    assert words[3][1] in (len(whole), len(whole) + 1, len(whole) + 2)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in entries.op10_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert found[1] == (len(long), 0, 0) and found[2] == (len(long), len(long), 1) and found[4] == (5, 0, 0)
+    assert found[3][1] >= len(part) and found[3][2] == 1
 
 
 def test_full_bitmaps_change_nothing(spark, monkeypatch, fixture_dir):
