@@ -10,10 +10,10 @@ Two equal windows of ``window`` symbols have the same anchor, the least hash amo
    place). Equal segments fold into the first of them, in the task and then in a grouped aggregation.
 3. bodies (bytes of the text) of these distinct segments go to shards by anchor: a map fetches them by a bitmap
    of their places or, where that would pass MOST_BITS, by a join of texts and places. Segments of anchors with more than HOT
-   distinct ones go as single windows by the window's hash, equal ones of a task as their first.
-4. a shard's index says of every window it holds whether it is the first of its kind: ``kept``. What it keeps
-   goes back to the documents, and every other window of a segment is gone. So hashes route and fold; what
-   stays is only ever said by the index.
+   distinct ones go as single windows by the window's hash, equal ones of a task as their first. A segment alone
+   with its anchor shares no window with another and needs no shard: its first occurrence is kept.
+4. a shard's index says of every window it holds whether it is the first of its kind: ``kept``. What is kept
+   goes back to the documents, and every other window of a segment is gone.
 """
 
 from __future__ import annotations
@@ -266,7 +266,7 @@ def _body_rows(rules: Rules, shipped, listed: bool) -> Callable[[Iterator[pa.Rec
     """Bodies of first occurrences: those that a bitmap holds or, ``listed``, those of the column "wanted"."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, firsts, hot = shipped.value
+        repeated, firsts, several, hot = shipped.value
         singles = _Singles(rules)
         for batch in batches:
             ids = batch["id"].to_numpy()
@@ -277,6 +277,7 @@ def _body_rows(rules: Rules, shipped, listed: bool) -> Callable[[Iterator[pa.Rec
                 else:
                     found = segments(values, first, rules, repeated)
                     found = found.take(np.flatnonzero(firsts.holds(_spot(found.key, ids[lo + found.owner], found.place))))
+                found = found.take(np.flatnonzero(several.holds(found.anchor)))
                 if not len(found.key):
                     continue
                 many = hot.holds(found.anchor) if hot is not None else np.zeros(len(found.key), bool)
@@ -308,6 +309,18 @@ def _listed(values: np.ndarray, first: np.ndarray, rules: Rules, wanted: pa.Arra
     return Segments(owner, start, place, runs, anchor, k1).take(same)
 
 
+def _alone(several: Bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Segments that have no other with their anchor, kept as a whole; exactly those whose bodies no task sends."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(~several.holds(batch["anchor"].to_numpy().view(np.uint64))))
+            begin = pa.array(np.zeros(part.num_rows, np.int32))
+            yield pa.RecordBatch.from_arrays([part["id"], part["k1"], part["start"], begin, part["windows"]], ["id", "k1", "start", "begin", "windows"])
+
+    return made
+
+
 def kept_windows(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.Table], repeated) -> DataFrame:
     """id and kept: an array of (k1, start, begin, windows), the windows of segments that are the first of their kind.
 
@@ -320,8 +333,9 @@ def kept_windows(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.T
     distinct = S.written(rows.groupBy("k1", "k2").agg(least).select("k1", "least.*"), "segments")
     number = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("windows").alias("w"))
     more = rules.window - 1
-    size = F.when(F.col("n") > HOT, F.col("w") * rules.window).otherwise(F.col("w") + F.col("n") * more)
-    count, symbols, many = number.agg(F.sum("n"), F.sum(size), F.count(F.when(F.col("n") > HOT, 1))).first()
+    size = F.when(F.col("n") > HOT, F.col("w") * rules.window).when(F.col("n") > 1, F.col("w") + F.col("n") * more)
+    count, symbols, pairs, many = number.agg(F.sum("n"), F.sum(size), F.count(F.when(F.col("n") > 1, 1)), F.count(F.when(F.col("n") > HOT, 1))).first()
+    several = bitmap_of(number.where("n > 1"), "anchor", pairs)
     hot = bitmap_of(number.where(F.col("n") > HOT), "anchor", many) if many else None
     shards = max(1, round((symbols or 0) / rules.shard_symbols))
     if PER_KEY * (count or 0) <= 4 << MOST_BITS:
@@ -330,7 +344,7 @@ def kept_windows(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.T
     else:
         wanted = distinct.groupBy("id").agg(F.collect_list(F.struct("k1", "start", "windows", "anchor")).alias("wanted"))
         firsts, source, listed = None, docs.select("id", "text").join(wanted, "id"), True
-    bodies = source.mapInArrow(_body_rows(rules, spark.sparkContext.broadcast((repeated.value, firsts, hot)), listed), _BODY)
+    bodies = source.mapInArrow(_body_rows(rules, spark.sparkContext.broadcast((repeated.value, firsts, several, hot)), listed), _BODY)
 
     def ordered(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -339,7 +353,7 @@ def kept_windows(docs: DataFrame, rules: Rules, shard: Callable[[pa.Table], pa.T
 
     dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).select("shard", "id", "start", "windows", "places", "body")
     found = dealt.groupBy("shard").applyInArrow(ordered, _KEPT)
-    kept = S.written(found, "kept")
+    kept = S.written(found.unionByName(distinct.mapInArrow(_alone(several), _KEPT)), "kept")
     S.removed(distinct)
     return kept.groupBy("id").agg(F.collect_list(F.struct("k1", "start", "begin", "windows")).alias("kept"))
 
