@@ -9,8 +9,8 @@ this run as grouped aggregations that combine before they shuffle. Patterns with
 support then name mentions that no expression found.
 
 Positions come from splitting a text at its matches: the pieces' and matches' lengths in code points add
-up to starts and ends. The expressions are written so that none backtracks over a run twice or recurses
-per repetition, so very long runs of digits or dots are linear and safe.
+up to starts and ends, in chunks (``scanned``), so that very many matches in a text cost little more than in
+proportion. The expressions are written so that none backtracks over a run twice or recurses per repetition.
 
 Defined cases: null texts are empty and have no spans; null ids stay; repeated rows each give a row; ties
 of start go by kind in the order of KINDS; extra columns are ignored; an empty table gives no rows.
@@ -38,26 +38,60 @@ MENTION = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+(?:\x20[0-9()+.
 ROUNDS = 2
 #: A pattern counts in a round from this score on, and names mentions from the last one on.
 GOOD, SURE, SUPPORT = 0.5, 0.8, 5
-#: Characters before a mention in which its context is looked for.
-_NEAR = 96
+#: The last two words of a text, or the one there is, with the spaces after them.
+_LAST_TWO = rf"(?<![^{_SPACE}])(?:[^{_SPACE}]++[{_SPACE}]++)?[^{_SPACE}]++[{_SPACE}]*+$"
+#: Items that a scan appends one by one, and code points of a block that texts are cut by.
+CHUNK, BLOCK = 64, 1024
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as array of start, end (code points), text and the tail of what stands before."""
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,gap:string>>")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("p"))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), empty.alias("out"))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, also where lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scanned(items: Column, zero: Column, advance, emit, kind: str) -> Column:
+    """``emit(state, item)`` (of the type ``kind``) for each item, the state running from ``zero`` by ``advance(state, item)``.
+
+    Appending within chunks, whose first states come from a fold of their own, copies CHUNK items for each and not all.
+    """
+    empty = F.array().cast(f"array<{kind}>")
 
     def step(state: Column, x: Column) -> Column:
+        return F.struct(advance(state["state"], x).alias("state"), F.concat(state["out"], F.array(emit(state["state"], x))).alias("out"))
+
+    def within(chunks: Column) -> Column:
+        first = F.aggregate(
+            F.slice(chunks, 1, F.size(chunks) - 1), F.array(zero), lambda out, c: F.concat(out, F.array(F.aggregate(c, F.element_at(out, -1), advance)))
+        )
+        return F.flatten(F.zip_with(chunks, first, lambda c, s: F.aggregate(c, F.struct(s.alias("state"), empty.alias("out")), step)["out"]))
+
+    def cut(every: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(every) == 0, empty).otherwise(let(F.transform(numbers, lambda k: F.slice(every, k * CHUNK + 1, CHUNK)), within))
+
+    return let(items, cut)
+
+
+_MATCH = "struct<start:int,end:int,text:string,gap:string>"
+
+
+def located(text: Column, pattern: str) -> Column:
+    """All matches of a pattern as array of start, end (code points), text and the one or two words that stand before."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("p"))
+    pairs = F.filter(found, lambda x: x["m"].isNotNull())
+    before = lambda state, x: F.regexp_extract(F.concat(state["tail"], x["p"]), _LAST_TWO, 0)
+
+    def advance(state: Column, x: Column) -> Column:
+        tail = F.regexp_extract(F.concat(before(state, x), x["m"]), _LAST_TWO, 0)
+        return F.struct((state["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("pos"), tail.alias("tail"))
+
+    def emit(state: Column, x: Column) -> Column:
         start = state["pos"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        gap = F.substring(F.concat(state["tail"], x["p"]), -_NEAR, _NEAR)
-        tail = F.substring(F.concat(gap, x["m"]), -_NEAR, _NEAR)
-        item = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), gap.alias("gap"))
-        return F.when(x["m"].isNull(), state).otherwise(F.struct(end.alias("pos"), tail.alias("tail"), F.concat(state["out"], F.array(item)).alias("out")))
+        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"), before(state, x).alias("gap"))
 
-    # most texts have no match: one cheap test spares them the fold
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step)["out"]).otherwise(empty)
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"))
+    # most texts have no match: one cheap test spares them the scan
+    return F.when(text.rlike(pattern), scanned(pairs, zero, advance, emit, _MATCH)).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
 def valid(kind: str, text: Column) -> Column:
@@ -82,7 +116,7 @@ def base_spans(text: Column) -> Column:
     for n, kind in enumerate(KINDS):
         matches = located(text, SEEDS[kind])
         if kind in NEEDS:
-            matches = F.when(F.contains(text, F.lit(NEEDS[kind])), matches).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,gap:string>>"))
+            matches = F.when(F.contains(text, F.lit(NEEDS[kind])), matches).otherwise(F.array().cast(f"array<{_MATCH}>"))
         keep = (lambda kind: lambda m: valid(kind, m["text"]))(kind)
         found.append(F.transform(F.filter(matches, keep), (lambda n: lambda m: _span(F.lit(n), m))(n)))
     return F.array_sort(F.concat(*found))
@@ -96,16 +130,24 @@ def _patterns(gap: Column) -> Column:
     return F.array_compact(F.array(one, two))
 
 
-def mentions(text: Column, base: Column) -> Column:
-    """Identifiers with start, end, text, kind (of the seed they hold, else -1) and up to two patterns."""
+def held_kind(text: Column) -> Column:
+    """The first kind of which an identifier's own text holds a seed entity, else -1."""
+    kinds = []
+    for n, kind in enumerate(KINDS):
+        holds = F.exists(F.regexp_extract_all(text, F.lit(SEEDS[kind]), 0), (lambda kind: lambda m: valid(kind, m))(kind))
+        kinds.append(F.when(F.contains(text, F.lit(NEEDS[kind])) & holds if kind in NEEDS else holds, F.lit(n)))
+    return F.coalesce(*kinds, F.lit(-1))
+
+
+def mentions(text: Column) -> Column:
+    """Identifiers with start, end, digest of the text, kind (of the seed they hold, else -1) and up to two patterns."""
 
     def made(m: Column) -> Column:
-        over = F.filter(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             F.sha2(m["text"].cast("binary"), 256).alias("instance"),
-            F.coalesce(F.try_element_at(over, F.lit(1))["kind"], F.lit(-1)).alias("kind"),
+            held_kind(m["text"]).alias("kind"),
             F.contains(m["text"], F.lit("@")).alias("at"),
             F.length(F.regexp_replace(m["text"], "[^0-9]", "")).alias("digits"),
             _patterns(m["gap"]).alias("patterns"),
@@ -147,11 +189,10 @@ def learned_patterns(found: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of the row), base, spans (arrays of start, kind, end; base spans are among spans)."""
+    """doc_id, other columns, base, spans (arrays of start, kind, end; base spans are among spans) of every row; no text."""
     keep = [c for c in docs.columns if c != "text"]
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select(*keep, text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    found = found.withColumn("mentions", mentions(F.col("text"), F.col("base"))).drop("text")
+    given = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*keep).alias("kept"))
+    found = given.select("kept", base_spans(F.col("text")).alias("base"), mentions(F.col("text")).alias("mentions"))
     found = S.written(found.withColumn("row", F.monotonically_increasing_id()), "mentions")
     open_ones = found.select("row", F.explode(F.filter("mentions", lambda m: m["kind"] < 0)).alias("m"))
     named = (
@@ -164,7 +205,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     )
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return found.drop("mentions").join(named, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", nothing)))).drop("more")
+    spans = F.array_sort(F.concat("base", F.coalesce("more", nothing)))
+    return found.drop("mentions").join(named, "row", "left").select("kept.*", "base", spans.alias("spans"))
 
 
 def written_spans(spans: Column | str) -> Column:
@@ -178,20 +220,34 @@ def counted(spans: Column | str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with each span (overlaps merged) replaced by ``[KIND]``."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    spans = find_spans(keyed.select("doc_id", "_text_hash", "text")).where(F.size("spans") > 0)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each of the sorted spans (overlaps merged) replaced by ``[KIND]``."""
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    def within(blocks: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            first = F.floor(start / BLOCK).cast("int")
+            joined = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(joined, start % BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+        def emit(pos: Column, s: Column) -> Column:
+            return F.when(s["start"] >= pos, F.concat(cut(pos, s["start"]), F.element_at(kinds, s["kind"] + 1))).otherwise(F.lit(""))
+
+        pieces = scanned(spans, F.lit(0), lambda pos, s: F.greatest(pos, s["end"]), emit, "string")
+        return F.concat(F.array_join(pieces, ""), cut(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    def step(state: Column, s: Column) -> Column:
-        mark = F.element_at(kinds, s["kind"] + 1)
-        new = F.struct(s["end"].alias("pos"), F.concat(state["out"], F.col("text").substr(state["pos"] + 1, s["start"] - state["pos"]), mark).alias("out"))
-        longer = F.struct(F.greatest(state["pos"], s["end"]).alias("pos"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["pos"], new).otherwise(longer)
+    # by blocks, so that a cut reads no more than the blocks it touches
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), 0), within)
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.col("text").substr(done["pos"] + 1, F.length("text"))))
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The same rows and columns with each span (overlaps merged) replaced by ``[KIND]``.
+
+    Null texts stay null; repeated rows are redacted alike; extra columns of any name are carried.
+    """
+    h, i, k, found = S.fresh(docs, "_hash", "_id", "_key", "_spans")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    spans = find_spans(keyed.select("doc_id", F.col(h).alias("hash"), "text")).where(F.size("spans") > 0)
+    spans = spans.select(F.col("doc_id").alias(i), F.col("hash").alias(k), F.col("spans").alias(found)).dropDuplicates([i, k])
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k)), "left")
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(found)))
     return joined.withColumn("text", text).select(*docs.columns)

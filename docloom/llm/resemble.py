@@ -160,9 +160,7 @@ def hopeful(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
 def fetched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The whole sets of the pairs' keys, written."""
-    out = S.written(whole_sets(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b"))), "sets")
-    S.release(docs.sparkSession)
-    return out
+    return S.written(whole_sets(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b"))), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,9 +168,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a")), "a")
     right = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    out = S.cut(left.join(right, "b").where(DOWN * common >= UP * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"))
-    S.release(pairs.sparkSession)
-    return out
+    return S.cut(left.join(right, "b").where(DOWN * common >= UP * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"))
 
 
 def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -188,7 +184,6 @@ def near_copies(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
     marked = S.cut(keys(docs, carry))
     counts = rough_counts(docs)
     met = S.cut(leading(docs, counts).groupBy("token", "mixed").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").drop("most"))
-    S.release(docs.sparkSession)
     found = leading(docs, counts, bitmap(met, "mixed", MET_BITS)).drop("mixed")
     shared = S.written(found.distinct().join(met.select("token", "least"), "token"), "met")
     heads = S.cut(shared.groupBy("key", "n", "last").agg(F.collect_list("token").alias("tokens")))

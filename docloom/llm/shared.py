@@ -1,14 +1,13 @@
 """What the operators of this subpackage share: checkpoints, Arrow text access, vectorised hashing.
 
-Texts reach Python as Arrow columns and are worked on as one byte array with document offsets,
-in blocks of bounded size, so that no step runs per row or per word in the interpreter.
+Texts reach Python as Arrow columns and are worked on as one byte array with document offsets, in blocks of
+bounded size. Where an operator still has an interpreter step per row or per word, it says so.
 """
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds in numpy form at once (a longer document is one block).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 #: Stands for a null document id in comparisons: before every other id.
 NULL_ID = -(1 << 63)
 
@@ -27,9 +26,11 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset a temporary one, but only for a local master, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _made:
             _made[app] = tempfile.mkdtemp(prefix="docloom-")
@@ -61,12 +62,15 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of frames that are gone now rather than some time later."""
-    for _ in range(2):  # the cleaner learns of a shuffle after a collection, and of what only that held after the next
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of the given ones that the frame does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_mod(column: str, by: int):

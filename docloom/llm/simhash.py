@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import shared as S
@@ -226,10 +226,15 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, carry: tuple[str, ...] =
 
 
 def one_of_each(docs: DataFrame, grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows and columns of the least id (null last; of its texts, one by hash) of each component, as ``grouped`` roots it."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = grouped(keyed.select("doc_id", "_hash", "text"), carry=("doc_id", "_hash"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
-    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_kept"))
-    stays = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    """The rows and columns of the least id (null last; of its texts, one by hash) of each component, as ``grouped`` roots it.
+
+    Of rows that repeat a kept id and text the one whose other columns have the least hash stays. Extra columns of any name are carried.
+    """
+    h, i, k, o = S.fresh(docs, "_hash", "_id", "_kept", "_other")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    found = grouped(keyed.select("doc_id", h, "text"), carry=("doc_id", h))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", h))
+    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(i), F.col(f"k.{h}").alias(k))
+    stays = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k)), "left_semi")
+    numbered = stays.withColumn(o, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*docs.columns))))
+    return numbered.where(F.col(o) == 1).select(*docs.columns)

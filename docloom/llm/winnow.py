@@ -185,13 +185,13 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = np.flatnonzero((right >= gram) & (left + right >= batch["need"].to_numpy()))
         pos = batch["pos"].to_numpy()[good]
         yield pa.RecordBatch.from_arrays(
-            [batch["row"].take(pa.array(good)), pa.array(pos - left[good], pa.int64()), pa.array(pos + right[good], pa.int64()), batch["items"].take(pa.array(good))],
-            ["row", "start", "stop", "items"],
+            [*(batch[c].take(pa.array(good)) for c in ("row", "need", "items")), pa.array(pos - left[good], pa.int64()), pa.array(pos + right[good], pa.int64())],
+            ["row", "need", "items", "start", "stop"],
         )
 
 
 def contamination(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, n_words, n_hit, items (sorted ids of items with occurring windows) of every row."""
+    """The carried columns, n_words, n_hit, items (sorted ids of items with occurring windows) and longest (words of the longest such window, 0 without) of every row."""
     prints = S.cut(item_fingerprints(items))
     rows = S.written(document_hits(docs, prints, carry).withColumn("row", F.monotonically_increasing_id()), "hits")
     kind = prints.schema["items"].dataType.simpleString()
@@ -200,16 +200,16 @@ def contamination(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("
         .select("row", "h.fp", "h.pos", "h.at", "h.words")
         .join(prints.select("fp", "gram", "need", F.col("at").alias("item_at"), F.col("words").alias("item_words"), "items"), "fp")
     )
-    spans = pairs.mapInArrow(_extended, f"row long, start long, stop long, items {kind}")
+    spans = pairs.mapInArrow(_extended, f"row long, need int, items {kind}, start long, stop long")
     step = lambda s, x: F.struct(
         (s["n"] + F.greatest(x["stop"] - F.greatest(x["start"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], x["stop"]).alias("upto")
     )
     found = spans.groupBy("row").agg(
-        F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+        F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max("need").alias("longest")
     )
-    found = found.select("row", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), step)["n"].alias("n_hit"), "items")
+    found = found.select("row", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), step)["n"].alias("n_hit"), "items", "longest")
     return rows.select("row", *carry, "n_words").join(found, "row", "left").select(
-        *carry, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast(kind))).alias("items")
+        *carry, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast(kind))).alias("items"), F.coalesce("longest", F.lit(0)).alias("longest")
     )
 
 
@@ -218,9 +218,13 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows and columns of documents that are not contaminated."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = contamination(keyed.select("doc_id", "_hash", "text"), items, ("doc_id", "_hash"))
-    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_bad"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_bad")), "left_anti").select(*docs.columns)
+def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows and columns of documents that neither hold a whole window of 13 words nor are contaminated by shorter items.
+
+    Null and empty texts stay; repeated rows stay or go together; extra columns of any name are carried.
+    """
+    h, b, i = S.fresh(docs, "_hash", "_bad", "_id")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    found = contamination(keyed.select("doc_id", h, "text"), items, ("doc_id", h))
+    bad = found.where((F.col("longest") >= WINDOW) | contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(i), F.col(h).alias(b))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(b)), "left_anti").select(*docs.columns)

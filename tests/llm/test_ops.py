@@ -409,14 +409,34 @@ def test_contexts_of_one_word_and_across_earlier_mentions(spark):
 
 
 def test_mentions_carry_the_words_before_them(spark):
-    from docloom.llm.pii import base_spans, mentions
+    from docloom.llm.pii import mentions
 
     texts = {"SSN 123-45-6789": [["1 ssn"]], "on 12/25 passport 99887766": [["1 on"], ["1 passport", "2 12/25 passport"]], "1a": [[]], "a b c 12": [["1 c", "2 b c"]], "x1 y2": [[], ["1 x1"]]}
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    for r in frame.select("text", mentions(F.col("text"), base_spans(F.col("text"))).alias("m")).collect():
+    for r in frame.select("text", mentions(F.col("text")).alias("m")).collect():
         assert [list(m.patterns) for m in r.m] == texts[r.text], r.text
 
 
+def test_texts_of_very_many_matches(spark):
+    from docloom.llm.pii import find_spans, redact, written_spans
+
+    rng = random.Random(9)
+    kinds = ["mail u{}@h{}.org", "ip 10.0.{}.{}", "card 4111 1111 1111 1111", "+1 (988) 555-2485 {}", "é {}", "x{}@y"]
+    long = " ".join(rng.choice(kinds).format(rng.randrange(300), rng.randrange(255)) for _ in range(6_000))
+    texts = [long, long[:3000], long[7:1029], None, "", "word " * 1000 + "a@b.cd" + " word" * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in find_spans(docs).select("doc_id", written_spans("base").alias("base"), "spans").collect()}
+    for r in redact(docs).collect():
+        t = texts[r.doc_id]
+        assert found[r.doc_id].base == brute.pii(t)
+        out, pos = [], 0
+        for s in sorted(found[r.doc_id].spans):
+            if s.start >= pos:
+                out += [t[pos : s.start], f"[{['EMAIL', 'IP', 'CARD', 'PHONE'][s.kind]}]"]
+            pos = max(pos, s.end)
+        assert r.text == (t if t is None else "".join([*out, t[pos:]]))
+
+
 def test_words_by_merges_equal_the_library():
     from docloom.llm.packing import WordIds
 
