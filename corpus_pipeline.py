@@ -18,29 +18,40 @@ KEEP = 0.3
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects; it learns from the labels that op9 may learn from."""
+    """Drops documents that the quality classifier rejects; it learns from the labels that op9 may learn from.
+
+    Null and empty texts score the bias; without labels of both kinds the score is their share (0.5 without any,
+    which keeps all). Repeated rows score alike; null ids teach nothing; extra columns of any name are carried.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(shared.crc_mod("doc_id", 5) != 0)
     weights = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
-    return quality.score(docs, weights, "_quality").where(F.col("_quality") >= KEEP).select(*docs.columns)
+    (name,) = shared.fresh(docs, "_quality")
+    return quality.score(docs, weights, name).where(F.col(name) >= KEEP).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-copies (five-word Jaccard similarity of 0.8 or more), the one of least id."""
+    """Keeps one document of each group of near-copies (five-word Jaccard similarity of 0.8 or more), the one of least id.
+
+    Null and empty texts are one group; ids tie by text hash, null ids come last; repeated rows leave one; extra columns are carried.
+    """
     return simhash.one_of_each(docs, resemble.near_copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more are words of benchmark windows."""
-    return winnow.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops documents that hold a window of 13 benchmark words or, of shorter items, a twentieth of whose words are hit.
+
+    Null and empty texts and null ids stay; repeated rows stay or go together; extra columns are carried.
+    """
+    return winnow.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the name of its kind."""
+    """Replaces personal data by the name of its kind; null texts stay null, all rows and columns stay."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents that are left into sequences."""
+    """Packs the documents that are left into sequences; a null or empty text is one piece that holds the end id."""
     cut = shared.written(packing.pieces(docs, entries.tokenizer_path()), "pieces")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
