@@ -1,8 +1,8 @@
 """Best-fit packing: minimum bin slack over tokenized documents.
 
 A map tokenizes whole texts, appends the end id and cuts only documents longer than a sequence. Pieces
-(a few numbers each, never tokens) are dealt by hash into groups of about GROUP pieces; each group is
-packed by itself. For each bin the longest piece left is placed, then a bitset dynamic programme over
+(a few numbers each, never tokens) are dealt by a hash of all that tells them apart, the row's number among
+it, into groups of about GROUP pieces; each group is packed by itself. For each bin the longest piece left is placed, then a bitset dynamic programme over
 the lengths that are left finds the fullest feasible sum, whose pieces are taken out. A group opens
 at most one poorly filled bin, so what grouping costs is bounded by one bin in GROUP pieces.
 
@@ -115,7 +115,7 @@ _encoders: dict[str, WordIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, copy (number of the row in its task), piece, start, length, ids_crc32 of every document; map only."""
+    """doc_id, row (its number in its task), piece, start, length, ids_crc32 of every document; map only."""
     schema = f"{docs.select('doc_id').schema[0].simpleString().replace(':', ' ')}, row long, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def fill(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces with doc_id, piece and length. ``cut`` should be cheap to read twice."""
+    """Adds sequence_id and offset to rows of pieces(). ``cut`` should be cheap to read twice."""
     count = cut.count()
     groups = max(1, -(-count // group))
     schema = f"{', '.join(f.simpleString().replace(':', ' ', 1) for f in cut.schema)}, sequence_id long, offset long"
@@ -204,5 +204,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
         bins, offsets = fill(table["length"].to_numpy(), capacity)
         return table.append_column("sequence_id", pa.array(bins * groups + key[0].as_py())).append_column("offset", pa.array(offsets))
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "row", "piece", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(packed, schema)

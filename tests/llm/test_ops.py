@@ -451,6 +451,45 @@ def test_words_by_merges_equal_the_library():
         assert list(ids[first[k] : first[k + 1]]) == words.tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def _same_by_library(words, texts):
+    """Ids of words of many texts, each against the library's own on the joined text."""
+    for lo in range(0, len(texts), 2000):
+        part = " ".join(texts[lo : lo + 2000])
+        raw = part.encode()
+        ids, _ = words.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert list(ids) == words.tokenizer.encode(part, add_special_tokens=False).ids, (lo, part[:80])
+
+
+def test_every_word_of_the_vocabulary_equals_the_library():
+    from docloom.llm.packing import WordIds
+
+    words = WordIds(entries.tokenizer_path())
+    vocabulary = sorted(words.tokenizer.get_vocab())
+    plain = [v.removesuffix("</w>") for v in vocabulary]
+    texts = [v for v in dict.fromkeys([*vocabulary, *plain, *(a + b for a, b in zip(plain, reversed(plain), strict=True))]) if v and not v.isspace()]
+    _same_by_library(words, texts)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_every_distinct_word_of_the_documents_equals_the_library():
+    from docloom.llm.packing import WordIds
+
+    found = duckdb.sql("SELECT DISTINCT unnest(string_split_regex(text, '[ \\t\\n\\r\\x0B\\f]+')) AS w FROM '/root/testdata/sf0.1/documents.parquet'").fetchall()
+    texts = sorted(w for (w,) in found if w)
+    assert len(texts) > 10_000
+    _same_by_library(WordIds(entries.tokenizer_path()), texts)
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    from docloom.llm.packing import pack
+
+    rows = [(1, k, 0, 0, 10, 7) for k in range(600)]
+    cut = spark.createDataFrame(rows, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    got = pack(cut, 100, 60).collect()
+    assert len(got) == 600 and len({(r.sequence_id, r.offset) for r in got}) == 600
+    assert len({r.sequence_id % 10 for r in got}) == 10
+
+
 def test_special_names_inside_words_equal_the_library():
     from docloom.llm.packing import WordIds
 
