@@ -6,11 +6,11 @@ n and m share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 of th
 power of two of a rough count (a table of COUNTERS sums of the occurrences of shingles that fall together),
 rare ones first, so that common passages seldom bring texts together.
 
-Equal sets fold into one. Texts that share a leading shingle are compared in two rounds: first each with
+Equal sets fold into one text each (a bitmap picks it in every map). Texts that share a leading shingle are compared in two rounds: first each with
 the least of them (one such for each set, then the others), then those pairs of them that are not in one
 component yet. A pair is passed over only
 if its sizes, or its leading shingles in common, rule the similarity out, and is confirmed by its whole
-sets. Hashes of 64 bits stand for sets and their shingles, of 58 for leading ones.
+sets, made anew from the texts, which travel packed to buckets of PAIRS pairs. Hashes of 64 bits stand for sets and their shingles, of 58 for leading ones.
 
 Defined cases: a text of fewer than five words has one shingle, null and empty texts have none and are near-
 copies of one another; words are split at ASCII white space and lowered in ASCII.
@@ -18,23 +18,24 @@ copies of one another; words are split at ASCII white space and lowered in ASCII
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import shared as S
+from docloom.llm.repeats import Bitmap, bitmap_of
 from docloom.llm.simhash import components
-from docloom.llm.winnow import bitmap, in_bitmap
 
 SHINGLE = 5
 #: Similarity from which texts are near-copies, as a fraction.
 UP, DOWN = 4, 5
 COUNTERS = 1 << 18
-#: Bits of the maps of leading shingles that several sets have, and of sets that are fetched; full ones let more through.
-MET_BITS, SETS_BITS = 27, 24
+#: Pairs of a bucket in which sets are compared, about; a set with more partners than that goes to several.
+PAIRS = 400
 
 
 def sets_block(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,50 +94,71 @@ def rough_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def leading(docs: DataFrame, counts: np.ndarray, met: np.ndarray | None = None) -> DataFrame:
-    """token, key, n, last: the shingles, rare ones first, of which near-copies share one; map only.
+def picked(docs: DataFrame, reps: Bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, ...]]]:
+    """Blocks of texts as (data, off, hashes, count, key, mine); ``mine`` are the rows that stand for their set."""
+    shipped = docs.sparkSession.sparkContext.broadcast(reps)
 
-    Tokens are the places in the order, ``last`` is a set's greatest leading one; those not in the bitmap ``met`` are left out.
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            every = batch["hash"].to_numpy().view(np.uint64)
+            for lo, hi, data, off in S.text_blocks(batch["text"]):
+                hashes, count, key = sets_block(data, off)
+                yield data, off, hashes, count, key, np.flatnonzero(shipped.value.holds(key ^ every[lo:hi]))
+
+    return made
+
+
+def _turned(token: np.ndarray) -> np.ndarray:
+    """A token with its even bits in front, to look it up in a bitmap; the same in Spark by _turned_column."""
+    return token << np.uint64(6) | token >> np.uint64(58)
+
+
+def _turned_column():
+    return F.shiftleft("token", 6).bitwiseOR(F.shiftrightunsigned("token", 58))
+
+
+def leading(docs: DataFrame, counts: np.ndarray, reps: Bitmap, met: Bitmap | None = None) -> DataFrame:
+    """token, key, n, last of the texts that stand for their sets: the shingles, rare ones first, of which near-copies share one; map only.
+
+    Tokens are the places in the order, ``last`` is a set's greatest leading one; those not in ``met`` are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast((np.minimum(np.log2(counts + 1), 31).astype(np.uint64), met))
+    blocks = picked(docs, reps)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, map_of_met = shared.value
-        for batch in batches:
-            for _, _, data, off in S.text_blocks(batch["text"]):
-                hashes, count, key = sets_block(data, off)
-                doc = np.repeat(np.arange(len(count)), count)
-                token = levels[_slot(hashes)] << np.uint64(58) | hashes >> np.uint64(6)
-                token = token[np.lexsort((token, doc))]
-                most = np.where(count > 0, count - -(-count * UP // DOWN) + 1, 0)
-                first = np.cumsum(count) - count
-                token, doc = token[S.ragged(first, most)], np.repeat(np.arange(len(count)), most)
-                last = token[(np.cumsum(most) - 1)[doc]]
-                if map_of_met is not None:
-                    some = in_bitmap(map_of_met, S.mix(token), MET_BITS)
-                    token, doc, last = token[some], doc[some], last[some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(S.signed(token)), pa.array(S.signed(S.mix(token))), pa.array(S.signed(key[doc])), pa.array(count[doc]), pa.array(S.signed(last))],
-                    ["token", "mixed", "key", "n", "last"],
-                )
-
-    return docs.select("text").mapInArrow(made, "token long, mixed long, key long, n long, last long")
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n, shingles of the sets whose key is wanted (and of few others: a bitmap picks them), one row each."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "key", SETS_BITS))
+        for _, _, hashes, count, key, mine in blocks(batches):
+            doc = np.repeat(np.arange(len(count)), count)
+            token = levels[_slot(hashes)] << np.uint64(58) | hashes >> np.uint64(6)
+            token = token[np.lexsort((token, doc))]
+            most = np.where(count > 0, count - -(-count * UP // DOWN) + 1, 0)[mine]
+            first = (np.cumsum(count) - count)[mine]
+            token, doc = token[S.ragged(first, most)], np.repeat(mine, most)
+            last = token[np.repeat(np.cumsum(most) - 1, most)]
+            if map_of_met is not None:
+                some = map_of_met.holds(_turned(token))
+                token, doc, last = token[some], doc[some], last[some]
+            yield pa.RecordBatch.from_arrays([pa.array(S.signed(token)), pa.array(S.signed(key[doc])), pa.array(count[doc]), pa.array(S.signed(last))], ["token", "key", "n", "last"])
+
+    return docs.select("text", "hash").mapInArrow(made, "token long, key long, n long, last long")
+
+
+def packed_texts(docs: DataFrame, reps: Bitmap, wanted: DataFrame) -> DataFrame:
+    """key, packed: the compressed texts that stand for the wanted keys (and few others: a bitmap picks them); map only."""
+    blocks = picked(docs, reps)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "key", wanted.count()))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, off in S.text_blocks(batch["text"]):
-                hashes, count, key = sets_block(data, off)
-                mine = np.unique(key, return_index=True)[1]
-                mine = mine[in_bitmap(shared.value, key[mine], SETS_BITS)]
-                held = hashes[S.ragged((np.cumsum(count) - count)[mine], count[mine])]
-                yield pa.RecordBatch.from_arrays([pa.array(S.signed(key[mine])), pa.array(count[mine]), S.list_column(S.signed(held), count[mine], pa.int64())], ["key", "n", "shingles"])
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        for data, off, _, _, key, mine in blocks(batches):
+            mine = mine[shared.value.holds(key[mine])]
+            raw = data.tobytes()
+            packed = [press(raw[a:b]) for a, b in zip(off[mine].tolist(), off[mine + 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(S.signed(key[mine])), pa.array(packed, pa.binary())], ["key", "packed"])
 
-    return docs.select("text").mapInArrow(made, "key long, n long, shingles array<long>").join(wanted.distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return docs.select("text", "hash").mapInArrow(made, "key long, packed binary")
 
 
 def _sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -158,17 +180,41 @@ def hopeful(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return _sides(pairs, heads).where(most * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP).select("a", "b")
 
 
-def fetched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The whole sets of the pairs' keys, written."""
-    return S.written(whole_sets(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b"))), "sets")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(table: pa.Table) -> pa.Table:
+    """a, b of the pairs of a bucket that are near-copies; rows are key, b, a (null: the text of b itself), packed."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    table = table.combine_chunks()
+    names, where = np.unique(table["key"].to_numpy(), return_index=True)
+    texts = pa.array([unpack(v.as_py()) for v in table["packed"].take(pa.array(where)).combine_chunks()], pa.binary())
+    sets: list[np.ndarray] = []
+    for _, _, data, off in S.text_blocks(texts):
+        hashes, count, _ = sets_block(data, off)
+        sets.extend(np.split(hashes, np.cumsum(count)[:-1]))
+    pairs = table.filter(pc.is_valid(table["a"]))
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    good = []
+    for x, y in zip(np.searchsorted(names, a).tolist(), np.searchsorted(names, b).tolist(), strict=True):
+        both = np.sort(np.concatenate([sets[x], sets[y]]))
+        common = int((both[1:] == both[:-1]).sum())
+        good.append(DOWN * common >= UP * (len(both) - common))
+    good = np.array(good, bool)
+    return pa.table({"a": a[good], "b": b[good]})
+
+
+def confirmed(docs: DataFrame, reps: Bitmap, pairs: DataFrame) -> DataFrame:
     """a, b: the pairs (written, so that Spark knows their size) whose whole sets are as similar as they must be."""
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a")), "a")
-    right = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return S.cut(left.join(right, "b").where(DOWN * common >= UP * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"))
+    total = pairs.count()
+    if not total:
+        return pairs
+    partners = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    bucket = F.pmod(F.xxhash64("b", "part"), F.lit(-(-total // PAIRS))).alias("bucket")
+    left = pairs.join(partners, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select(F.col("a").alias("key"), bucket, "b", "a")
+    right = partners.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("b").alias("key"), bucket, "b", F.lit(None).cast("long").alias("a"))
+    needs = S.written(left.unionByName(right), "needs")
+    texts = packed_texts(docs, reps, needs.select("key").distinct())
+    return S.written(texts.join(needs, "key").groupBy("bucket").applyInArrow(lambda t: _compared(t), "a long, b long").distinct(), "confirmed")
 
 
 def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,26 +227,34 @@ def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, key and root (the key that names the component) of every row."""
-    marked = S.cut(keys(docs, carry))
+    (h,) = S.fresh(docs, "hash")
+    marked = S.cut(keys(docs.select(*carry, F.xxhash64("text").alias(h), "text"), (*carry, h)))
+    docs = docs.select("text", F.xxhash64("text").alias("hash"))
+    stands = marked.groupBy("key").agg(F.min(h).alias("h")).select(F.col("key").bitwiseXOR(F.col("h")).alias("spot"))
+    reps = bitmap_of(stands, "spot", stands.count())
     counts = rough_counts(docs)
-    met = S.cut(leading(docs, counts).groupBy("token", "mixed").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").drop("most"))
-    found = leading(docs, counts, bitmap(met, "mixed", MET_BITS)).drop("mixed")
-    shared = S.written(found.distinct().join(met.select("token", "least"), "token"), "met")
-    heads = S.cut(shared.groupBy("key", "n", "last").agg(F.collect_list("token").alias("tokens")))
+    met = leading(docs, counts, reps).groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    met = S.written(met.where("least <> most").drop("most"), "met")
+    several = bitmap_of(met.select(_turned_column().alias("spot")), "spot", met.count())
+    found = leading(docs, counts, reps, several)
+    shared = S.written(found.join(met, "token").distinct(), "shared")
+    heads = S.written(shared.groupBy("key", "n", "last").agg(F.collect_list("token").alias("tokens")), "heads")
     star = shared.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     star = S.written(hopeful(star, heads), "star")
-    sets = fetched(docs, star)
     # one least for each first, then those that are not in one component yet
-    one = S.written(star.groupBy("a").agg(F.min("b").alias("b")), "star")
-    first = confirmed(one, sets)
-    first = S.cut(first.unionByName(confirmed(S.written(_apart(star.join(one, ["a", "b"], "left_anti"), first), "star"), sets)))
-    rooted = S.cut(shared.join(components(first).withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "least", F.coalesce("root", "key").alias("root")))
+    one = S.written(star.groupBy("a").agg(F.min("b").alias("b")), "one")
+    first = confirmed(docs, reps, one)
+    rest = S.written(_apart(star.join(one, ["a", "b"], "left_anti"), first), "rest")
+    first = S.cut(first.unionByName(confirmed(docs, reps, rest)))
+    rooted = S.written(shared.join(components(first).withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "least", F.coalesce("root", "key").alias("root")), "rooted")
     apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     mixed = rooted.join(apart, "token")
     left, right = mixed.select("token", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "least", "root"))), mixed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "root")))
     # pairs with the least were tried, and sizes may rule a pair out
     other = left.join(right, "token").where(f"key_a > key_b and key_b <> least_a and root_a <> root_b and {DOWN} * least(n_a, n_b) >= {UP} * greatest(n_a, n_b)")
     more = S.written(hopeful(other.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), heads), "more")
-    edges = first if more.isEmpty() else S.cut(first.unionByName(confirmed(more, fetched(docs, more))))
+    edges = S.cut(first.unionByName(confirmed(docs, reps, more)))
+    for table in (met, shared, heads, star, one, rest, rooted, more):
+        S.removed(table)
     roots = components(edges).withColumnRenamed("node", "key")
-    return marked.join(roots, "key", "left").select(*carry, "key", F.coalesce("root", "key").alias("root"))
+    return marked.drop(h).join(roots, "key", "left").select(*carry, "key", F.coalesce("root", "key").alias("root"))
