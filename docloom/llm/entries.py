@@ -11,6 +11,7 @@ from docloom.llm import shared as S
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    S.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

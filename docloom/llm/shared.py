@@ -22,9 +22,19 @@ BLOCK_BYTES = 1 << 19
 #: Stands for a null document id in comparisons: before every other id.
 NULL_ID = -(1 << 63)
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session sets none: rows of long texts come in smaller numbers.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _made: dict[str, str] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of Arrow batches in bytes, unless it has one."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset a temporary one, but only for a local master, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,7 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -225,14 +225,14 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, carry: tuple[str, ...] =
     return marked.join(rooted.select("fp", "root").join(ids, "root"), "fp").select(*carry, "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows and columns of the least id (null last; of its texts, one by hash) of each component, as ``grouped`` roots it.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows and columns of the least id (null last; of its texts, one by hash) of each component.
 
     Of rows that repeat a kept id and text the one whose other columns have the least hash stays. Extra columns of any name are carried.
     """
     h, i, k, o = S.fresh(docs, "_hash", "_id", "_kept", "_other")
     keyed = docs.withColumn(h, F.xxhash64("text"))
-    found = grouped(keyed.select("doc_id", h, "text"), carry=("doc_id", h))
+    found = near_duplicates(keyed.select("doc_id", h, "text"), carry=("doc_id", h))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", h))
     keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(i), F.col(f"k.{h}").alias(k))
     stays = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k)), "left_semi")

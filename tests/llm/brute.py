@@ -119,35 +119,3 @@ def simhash(docs, near=3):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (f"{prints[d]:016x}", find(d)) for d in ids}
-
-
-def firsts_of_near_copies(docs):
-    """Sorted least ids of the components of texts whose sets of five-word shingles are similar by 0.8 or more."""
-    sets, by = {}, {}
-    for d, t in docs:
-        w = re.findall(rb"[^\x20\x09-\x0D]+", low(t))
-        sets[d] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-    for d in sorted(sets):
-        by.setdefault(sets[d], d)
-    root = {d: d for d in by.values()}
-    holders = {}
-    for s, d in by.items():
-        for g in s:
-            holders.setdefault(g, []).append(d)
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for x, d in by.items():
-        common = {}
-        for g in x:
-            for e in holders[g]:
-                if e < d:
-                    common[e] = common.get(e, 0) + 1
-        for e, n in common.items():
-            if 5 * n >= 4 * (len(x) + len(sets[e]) - n):
-                a, b = sorted((find(d), find(e)))
-                root[b] = a
-    return sorted({find(d) for d in root})
