@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import entries, packing, pii, quality, resemble, shared, simhash, winnow
+from docloom.llm import entries, packing, pii, quality, shared, simhash, winnow
 
 ORACLE_SQL = None
 #: Documents that score less are rejected.
@@ -30,11 +30,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-copies (five-word Jaccard similarity of 0.8 or more), the one of least id.
+    """Keeps one document of each SimHash group (op6: fingerprints within three bits, and what they link), the one of least id.
 
     Null and empty texts are one group; ids tie by text hash, null ids come last; repeated rows leave one; extra columns are carried.
     """
-    return simhash.one_of_each(docs, resemble.near_copies)
+    return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +67,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each one's rows written and read again as the next one's."""
+    shared.bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
