@@ -92,3 +92,36 @@ def within_section(path: Column, wanted: str) -> Column:
 def line_key(line: Column) -> Column:
     """The spelling under which repeated lines count as one: runs of white space, then of digits, folded."""
     return F.regexp_replace(F.regexp_replace(line, r"[\t\n\f\r ]+", " "), "[0-9]+", "#")
+
+
+def normal_title(text: Column) -> Column:
+    """Lower case, with single spaces for all that is no letter, digit or underscore."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+
+
+def truncated(text: Column, n: int) -> Column:
+    """The first n code points."""
+    return F.substring(text, 1, n)
+
+
+def thousands(n: Column) -> Column:
+    """A count with commas."""
+    return F.format_number(n, 0)
+
+
+def percent(share: Column) -> Column:
+    """A share as whole percents, halves to even."""
+    return F.concat(F.rint(share * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def round3(x: Column) -> Column:
+    """Three places of the exact binary value, halves to even; for values below 10**9.
+
+    F.round and F.bround go by the decimal text, so 1.0005 (a little less, in binary) would round up. The value is
+    split into two halves of its bits, so that a thousand times either, and the distance to the tie, are exact.
+    """
+    scaled = x * 134217729.0
+    high = scaled - (scaled - x)
+    below = F.floor(x * 1000).cast("double")
+    past = (high * 1000 - (below + 0.5)) + (x - high) * 1000
+    return (below + F.when(past > 0, 1.0).when(past < 0, 0.0).otherwise(F.pmod(below, F.lit(2.0)))) / 1000

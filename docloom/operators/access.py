@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLES = ("reader", "editor", "admin")
+#: Days for which a deleted library can be restored; the label of a user's own library.
+GRACE_DAYS, OWN = 14, "personal"
 
 
 def rank(role: Column | str) -> Column:
@@ -27,7 +29,7 @@ def user_roles(grants: DataFrame, group_grants: DataFrame, group_members: DataFr
 def readable_libraries(libraries: DataFrame, roles: DataFrame) -> DataFrame:
     """user_id, library_id, label, role, place: libraries that are not deleted, own first, then by slug (null last)."""
     own = F.col("owner_id") == F.col("user_id")
-    label = F.when(own, "personal").otherwise(F.coalesce("slug", F.col("library_id").cast("string")))
+    label = F.when(own, OWN).otherwise(F.coalesce("slug", F.col("library_id").cast("string")))
     order = Window.partitionBy("user_id").orderBy(F.desc("_own"), F.asc_nulls_last("slug"), "library_id")
     return (
         roles.join(libraries.where("deleted_at is null"), "library_id")
@@ -77,6 +79,53 @@ def audit_listing(events: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def purgeable(now: Column) -> Column:
+    """Of a library: deleted longer than the days of grace ago."""
+    return F.coalesce(F.col("deleted_at") < now - F.expr(f"INTERVAL {GRACE_DAYS} DAYS"), F.lit(False))
+
+
+def deleted_libraries(libraries: DataFrame, grants: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """user_id, library_id, slug, deleted_at, purge_at, deleted_by: what each admin may still restore.
+
+    Only direct grants count. ``deleted_by`` is a name, empty if its account is gone.
+    """
+    names = users.select(F.col("user_id").alias("deleted_by"), F.col("username").alias("_name"))
+    waiting = libraries.where(F.col("deleted_at").isNotNull() & ~purgeable(now)).join(names, "deleted_by", "left")
+    admins = grants.where("role = 'admin'").select("user_id", "library_id")
+    return admins.join(waiting, "library_id").select(
+        "user_id", "library_id", "slug", "deleted_at",
+        (F.col("deleted_at") + F.expr(f"INTERVAL {GRACE_DAYS} DAYS")).alias("purge_at"), F.coalesce("_name", F.lit("")).alias("deleted_by"),
+    )
+
+
+def purged(table: DataFrame, libraries: DataFrame, now: Column) -> DataFrame:
+    """The rows of a table with library_id that stay when purgeable libraries go."""
+    return table.join(libraries.where(purgeable(now)).select("library_id"), "library_id", "left_anti")
+
+
+def resolved(asked: DataFrame, readable: DataFrame) -> DataFrame:
+    """user_id, asked, library_id, doc_id of the ids that name a library which the user reads; others give no row.
+
+    ``asked`` has user_id, asked. What stands before the first slash is a label; an id without one is the user's own.
+    """
+    label = F.when(F.contains("asked", F.lit("/")), F.substring_index("asked", "/", 1)).otherwise(OWN)
+    local = F.when(F.contains("asked", F.lit("/")), F.expr("substring(asked, locate('/', asked) + 1)")).otherwise(F.col("asked"))
+    wanted = asked.select("user_id", "asked", label.alias("label"), local.alias("doc_id"))
+    return wanted.join(readable.select("user_id", "label", "library_id"), ["user_id", "label"]).select("user_id", "asked", "library_id", "doc_id")
+
+
+def chosen(readable: DataFrame, names: list[str]) -> DataFrame:
+    """The readable libraries of one user under the given labels, or all without labels; an unknown label is an error."""
+    if not names:
+        return readable
+    found = readable.where(F.col("label").isin(*names))
+    known = {r.label for r in found.select("label").distinct().collect()}  # no more rows than names
+    for name in names:
+        if name not in known:
+            raise ValueError(f"no readable library is named {name!r}")
+    return found
+
+
 def last_admin_blocked(roles: DataFrame) -> DataFrame:
     """library_id, user_id of admins whose leaving would leave a library without one."""
     admins = roles.where(F.col("role") == "admin")

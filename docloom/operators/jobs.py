@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 MAX_ATTEMPTS, LEASE_SECONDS = 3, 300
 OPEN = ("queued", "running")
+#: Jobs of a status report.
+STATUS_LIMIT = 25
 
 
 def claimable(now: Column, max_attempts: int = MAX_ATTEMPTS) -> Column:
@@ -62,6 +64,27 @@ def status_view(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.select("id", "status", percent.alias("percent"), F.coalesce(stalled, F.lit(False)).alias("stalled"), seconds.alias("elapsed_seconds"))
 
 
+def active(jobs: DataFrame) -> DataFrame:
+    """Open jobs, oldest first."""
+    return jobs.where(F.col("status").isin(*OPEN)).orderBy("created_at", "id")
+
+
+def recent(jobs: DataFrame, most: int = STATUS_LIMIT) -> DataFrame:
+    """The first ``most`` jobs, open ones first, then by last change, then by id."""
+    return jobs.orderBy(F.col("status").isin(*OPEN).desc(), F.desc("updated_at"), F.desc("id")).limit(most)
+
+
+def unclaimable(jobs: DataFrame, editors: DataFrame, now: Column) -> DataFrame:
+    """id, status, permanent of jobs that fail as their requester may no longer write there.
+
+    Waiting jobs, and those running or being cancelled whose lease has ended. ``editors`` has library_id, user_id.
+    """
+    free = (F.col("status") == "queued") | (F.col("status").isin("running", "cancelling") & (F.col("lease_until") < now))
+    may = editors.select("library_id", F.col("user_id").alias("requested_by"))
+    lost = jobs.where(free).join(may, ["library_id", "requested_by"], "left_anti")
+    return lost.select("id", F.lit("failed").alias("status"), F.lit(True).alias("permanent"))
+
+
 def latest_by_source(jobs: DataFrame) -> DataFrame:
     """source, id, status of the newest job of each source; combined before the shuffle."""
     return jobs.groupBy("source").agg(F.max_by(F.struct("id", "status"), F.struct("created_at", "id")).alias("j")).select("source", "j.id", "j.status")

@@ -48,6 +48,16 @@ def trimmed(span: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
     return kept.withColumn("_prefix", prefix).where((F.col("ordinal") <= F.col("anchor")) | (F.col("_prefix") <= budget)).drop("_suffix", "_prefix")
 
 
+def heading_contains(chunks: DataFrame, text: str) -> DataFrame:
+    """Chunks whose heading path holds a text, whatever its case; nothing in it is a wildcard."""
+    return chunks.where(F.contains(F.lower("heading_path"), F.lower(F.lit(text))))
+
+
+def with_prefix(documents: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose column starts with a text; nothing in it is a wildcard, and the scan gets it as a pushed filter."""
+    return documents.where(F.startswith(F.col(column), F.lit(prefix)))
+
+
 def pages_in(pages: DataFrame, start: int, end: int) -> DataFrame:
     """Pages of a range of at most twenty; an end before the start is the start. Adds truncated."""
     end = max(start, end)

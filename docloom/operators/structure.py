@@ -35,7 +35,7 @@ def sampled_script_share(chunks: DataFrame) -> DataFrame:
     picked = chunks.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy("ordinal")) - 1).where(F.col("_k") % stride == 0)
     odd, letters = F.regexp_count("text", F.lit(T.UNCALIBRATED)), F.regexp_count("text", F.lit(r"\p{L}"))
     sums = picked.groupBy("doc_id").agg(F.sum(odd).alias("a"), F.sum(letters).alias("b"))
-    return sums.select("doc_id", F.when(F.col("b") > 0, F.round(F.col("a") / F.col("b"), 3)).otherwise(0.0).alias("script_share"))
+    return sums.select("doc_id", F.when(F.col("b") > 0, T.round3(F.col("a") / F.col("b"))).otherwise(0.0).alias("script_share"))
 
 
 def report(chunks: DataFrame, diagnostics: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumns({"page_start": F.col("page_start").cast("int"), "page_end": F.col("page_end").cast("int")})
 
 
+def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks, numbered so that after every eleven of a document one number is left out."""
+    return chunks(spark, sf_dir).withColumn("ordinal", F.expr("ordinal + ordinal div 11"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(table(spark, sf_dir, "documents")).select(
         "library_id",
@@ -81,7 +86,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").selectExpr(
         "n_nationkey AS library_id", "CASE WHEN n_nationkey % 6 <> 5 THEN lower(n_name) END AS slug", "CAST(n_nationkey * 3 AS BIGINT) AS owner_id",
-        "CASE WHEN n_nationkey % 10 = 7 THEN TIMESTAMP_NTZ '2024-01-01 00:00:00' END AS deleted_at",
+        "CASE WHEN n_nationkey % 10 = 7 THEN TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(CAST(n_nationkey - 7 AS INT)) END AS deleted_at",
+        "CASE WHEN n_nationkey % 10 = 7 THEN CAST(n_nationkey * 2 AS BIGINT) END AS deleted_by",
     )
 
 
@@ -89,6 +95,12 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr("c_nationkey AS library_id", "c_custkey AS user_id", "element_at(array('reader', 'editor', 'admin'), CAST(c_custkey % 3 + 1 AS INT)) AS role")
 
 
+def owned_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All grants, where libraries with an odd key have no admin but their owner."""
+    held = grants(spark, sf_dir).selectExpr("library_id", "user_id", "CASE WHEN library_id % 2 = 1 AND role = 'admin' THEN 'editor' ELSE role END AS role")
+    return held.unionByName(libraries(spark, sf_dir).selectExpr("library_id", "owner_id AS user_id", "'admin' AS role"))
+
+
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey % 20 AS group_id", "o_custkey AS user_id").distinct()
 

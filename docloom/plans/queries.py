@@ -75,7 +75,7 @@ def section_covers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordinal_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return grade.ordinal_gaps(C.chunks(spark, d).where("ordinal % 19 <> 5"))
+    return grade.ordinal_gaps(C.gapped(spark, d))
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +107,36 @@ def waiting_queues(spark: SparkSession, d: str) -> DataFrame:
     return jobs.waiting_queues(C.jobs(spark, d), editors, F.expr(C.NOW))
 
 
+def unclaimable_jobs(spark: SparkSession, d: str) -> DataFrame:
+    editors = access.holders(_roles(spark, d), C.libraries(spark, d), "editor")
+    return jobs.unclaimable(C.jobs(spark, d), editors, F.expr(C.NOW))
+
+
+def resolved_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer asks for a document of their own and for one of a library by its label."""
+    asked = C.table(spark, d, "customer").join(C.libraries(spark, d).select("library_id", "slug"), F.col("library_id") == F.col("c_nationkey"))
+    ids = F.explode(F.array(F.concat(F.lit("d"), "c_custkey"), F.concat(F.coalesce("slug", F.col("library_id").cast("string")), F.lit("/a/"), "c_custkey"), F.concat(F.lit("personal/"), "c_custkey")))
+    return access.resolved(asked.select(F.col("c_custkey").alias("user_id"), ids.alias("asked")), access.readable_libraries(C.libraries(spark, d), _roles(spark, d)))
+
+
+def display_text(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return C.table(spark, d, "documents").where("doc_id is not null").select(
+        "doc_id",
+        F.sha2(T.normal_title(text).cast("binary"), 256).alias("title_sha256"),
+        T.truncated(text, 60).alias("head"),
+        T.thousands(F.length(text) * 1000).alias("shown"),
+        T.percent((F.col("doc_id") % 201) / 200).alias("share"),
+    )
+
+
+def round_three(spark: SparkSession, d: str) -> DataFrame:
+    """Ties of the binary value (sixteenths), ties of the decimal text only, and others."""
+    x = "CAST(l_orderkey AS DOUBLE) / 16 AS a", "(CAST(l_orderkey AS DOUBLE) * 10 + 5) / 10000 AS b", "CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS c"
+    rows = C.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *x)
+    return rows.select("l_orderkey", "l_linenumber", *[T.round3(F.col(c)).alias(c) for c in "abc"])
+
+
 def audit_listing(spark: SparkSession, d: str) -> DataFrame:
     return access.audit_listing(C.audit_events(spark, d), C.users(spark, d)).drop("at")
 
@@ -143,21 +173,14 @@ def site_chrome(spark: SparkSession, d: str) -> DataFrame:
     return crawl.chrome(blocks)
 
 
-def _resemblance(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
+def soft404_resemblance(spark: SparkSession, d: str) -> DataFrame:
+    """Every item is a probe page, held against every document."""
+    items = C.table(spark, d, "benchmark").where("item_id is not null")
     texts = C.table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").alias("key"), "text")
     probes = items.select(F.col("item_id").alias("key"), "text")
     return crawl.resemblance(crawl.bags(texts, "key"), crawl.bags(probes, "key")).select(F.col("a_key").alias("doc_id"), F.col("b_key").alias("item_id"), "shared", "resembles")
 
 
-def soft404_resemblance(spark: SparkSession, d: str) -> DataFrame:
-    return _resemblance(spark, d, C.table(spark, d, "benchmark").where("item_id < 2"))
-
-
-def soft404_resemblance_all(spark: SparkSession, d: str) -> DataFrame:
-    """As soft404_resemblance, with every item as a probe."""
-    return _resemblance(spark, d, C.table(spark, d, "benchmark").where("item_id is not null"))
-
-
 def digest_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The holder (least id) and the copies of each text."""
     held = C.table(spark, d, "documents").where("text is not null").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
@@ -261,10 +284,17 @@ def queries() -> dict[str, Query]:
         "audit_listing": audit_listing,
         "members_listing": members_listing,
         "group_sizes": group_sizes,
-        "last_admin": lambda s, d: access.last_admin_blocked(C.grants(s, d).where("user_id % 60 < 12")),
-        "last_admin_all": lambda s, d: access.last_admin_blocked(C.grants(s, d)),
-        "ordinal_gaps_all": lambda s, d: grade.ordinal_gaps(chunks(s, d)),
-        "soft404_resemblance_all": soft404_resemblance_all,
+        "last_admin": lambda s, d: access.last_admin_blocked(C.owned_grants(s, d)),
+        "deleted_libraries": lambda s, d: access.deleted_libraries(C.libraries(s, d), C.grants(s, d), C.users(s, d), now(C.NOW)),
+        "purged_jobs": lambda s, d: access.purged(all_jobs(s, d), C.libraries(s, d), now(C.NOW)).select("id", "library_id"),
+        "resolved_ids": resolved_ids,
+        "active_jobs": lambda s, d: jobs.active(all_jobs(s, d)).select("id", "library_id", "status"),
+        "recent_jobs": lambda s, d: jobs.recent(all_jobs(s, d)).select("id", "status"),
+        "unclaimable_jobs": unclaimable_jobs,
+        "heading_contains": lambda s, d: navigate.heading_contains(chunks(s, d), "gLossary > TERM 1").select("doc_id", "chunk_id"),
+        "doc_prefix": lambda s, d: navigate.with_prefix(documents(s, d), "title", "src1/1").select("doc_id", "title", "status"),
+        "display_text": display_text,
+        "round_three": round_three,
         "claim_order": lambda s, d: jobs.claim_order(all_jobs(s, d), now(C.NOW)),
         "queue_position": lambda s, d: jobs.positions(all_jobs(s, d)),
         "swept_jobs": lambda s, d: jobs.swept(all_jobs(s, d), now(C.NOW)),

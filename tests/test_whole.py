@@ -1,17 +1,18 @@
 """Queries over whole tables, on small tables that hold the cases they look for."""
 
-from docloom.plans import queries
+from docloom.operators import access
+from docloom.plans import corpus, queries
 
 
 def test_every_admin_counts(spark, tmp_path):
     # a c_custkey of 2 modulo 3 is an admin: library 1 has two, library 2 has 119 alone
     spark.createDataFrame([(1, 2), (1, 59), (2, 119), (2, 120), (3, 3)], "c_nationkey long, c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
-    got = [tuple(r) for r in queries.queries()["last_admin_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in access.last_admin_blocked(corpus.grants(spark, str(tmp_path))).collect()]
     assert got == [(2, 119)]
 
 
 def test_every_item_is_a_probe(spark, tmp_path):
     spark.createDataFrame([(7, "page not found")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "not"), (5, "page not found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.item_id: r.shared for r in queries.queries()["soft404_resemblance_all"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: r.shared for r in queries.queries()["soft404_resemblance"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 5: 3}
