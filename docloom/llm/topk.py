@@ -11,7 +11,7 @@ gives the same result.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take
 no part; vectors of unequal length compare as if padded with zeros; repeated rows are candidates each (not
-of their own id); extra columns are ignored; empty tables give no rows.
+of their own id), and as queries each have their own k best; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm import shared as S
+
 PIVOTS, PIVOT_SAMPLE = 24, 256
 CANDIDATES, QUERIES = 8192, 1024
 _ROW = "p int, q int, vec_id long, v array<long>"
@@ -85,7 +87,10 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score over rows with vec_id and v (array of long, not null); ``is_query`` is a condition."""
+    """query_id, rank, vec_id, score over rows with vec_id and v (array of long, not null); ``is_query`` is a condition.
+
+    Rows that repeat an id are queries of their own, each with its k best, and are no candidates of one another.
+    """
     spark = vectors.sparkSession
     width, total, asked = vectors.agg(F.max(F.size("v")), F.count("*"), F.count(F.when(is_query, 1))).first()
     if not asked:
@@ -97,7 +102,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select(block(parts, 1).alias("p"), "vec_id", "v").select("p", every(groups).alias("q"), "vec_id", "v")
-    asks = vectors.where(is_query).select(block(groups, 2).alias("q"), "vec_id", "v").select(every(parts).alias("p"), "q", "vec_id", "v")
+    # the tag tells queries of one id apart; it is cut so that a lost task makes the same one again
+    tagged = S.cut(vectors.where(is_query).select(F.monotonically_increasing_id().alias("tag"), "vec_id", "v"))
+    asks = tagged.select(block(groups, 2).alias("q"), "tag", "vec_id", "v").select(every(parts).alias("p"), "q", "tag", "vec_id", "v")
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
         asked_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
@@ -106,10 +113,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
         n = np.array([len(f) for f in found], np.int64)
         q = np.repeat(np.arange(len(found)), n)
         hit = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
-        return pa.table({"query_id": asked_ids[q], "vec_id": ids[hit], "score": (queries[q] * x[hit]).sum(axis=1).astype(np.int64)})
+        return pa.table({"query_id": asked_ids[q], "tag": left["tag"].to_numpy()[q], "vec_id": ids[hit], "score": (queries[q] * x[hit]).sum(axis=1).astype(np.int64)})
 
-    best = asks.groupBy("p", "q").cogroup(rows.groupBy("p", "q")).applyInArrow(searched, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = asks.groupBy("p", "q").cogroup(rows.groupBy("p", "q")).applyInArrow(searched, "query_id long, tag long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

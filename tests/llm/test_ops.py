@@ -390,6 +390,21 @@ def test_pivot_search_is_exact_and_breaks_ties_by_id():
         assert list(got[q]) == order
 
 
+def test_top_k_of_repeated_unequal_and_broken_vectors(spark, tmp_path):
+    nan, rows = float("nan"), [(0, [1.0, 2.0]), (0, [-1.0, 0.5]), (0, [1.0, 2.0]), (1, [3.0]), (1, [3.0]), (2, [0.0, 0.0, 9.0]), (100, [1.0, -1.0])]
+    broken = [(3, None), (4, [1.0, None]), (5, [nan]), (6, [float("inf")]), (None, [50.0, 50.0]), (200, [])]
+    table = spark.createDataFrame(rows + broken, "vec_id long, embedding array<double>").withColumns({"tag": F.lit("x"), "p": F.lit(1), "v": F.lit(2)})
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in entries.op8_exact_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    whole = [(i, [int(1024 * x) for x in v]) for i, v in [*rows, (200, [])]]
+    want = []
+    for query, v in whole:
+        if query % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != query)
+            want += [(query, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
+    assert got == sorted(want)
+
+
 def test_bootstrapped_patterns_find_unseen_identifiers(spark):
     from docloom.llm.pii import find_spans, written_spans
 
