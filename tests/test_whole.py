@@ -1,5 +1,7 @@
 """Queries over whole tables, on small tables that hold the cases they look for."""
 
+import pytest
+
 from docloom.operators import access
 from docloom.plans import corpus, queries
 
@@ -16,3 +18,11 @@ def test_every_item_is_a_probe(spark, tmp_path):
     spark.createDataFrame([(1, "not"), (5, "page not found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.item_id: r.shared for r in queries.queries()["soft404_resemblance"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 5: 3}
+
+
+def test_chosen_libraries(spark):
+    readable = spark.createDataFrame([("personal", 3), ("peru", 1)], "label string, library_id int")
+    assert access.chosen(readable, []).count() == 2
+    assert [r.library_id for r in access.chosen(readable, ["peru"]).collect()] == [1]
+    with pytest.raises(ValueError, match="china"):
+        access.chosen(readable, ["peru", "china"])
