@@ -44,6 +44,12 @@ def holders(roles: DataFrame, libraries: DataFrame, least: str = "reader") -> Da
     return roles.where(rank("role") >= ROLES.index(least) + 1).join(libraries.where("deleted_at is null"), "library_id", "left_semi").select("user_id", "library_id")
 
 
+def library_lists(users: DataFrame, roles: DataFrame, libraries: DataFrame, least: str = "reader") -> DataFrame:
+    """user_id, libraries: sorted ids of what each user holds with a role at least; an empty list where it is nothing."""
+    held = holders(roles, libraries, least).groupBy("user_id").agg(F.sort_array(F.collect_set("library_id")).alias("libraries"))
+    return users.select("user_id").join(held, "user_id", "left").select("user_id", F.coalesce("libraries", F.array().cast(held.schema["libraries"].dataType)).alias("libraries"))
+
+
 def scoped(table: DataFrame, roles: DataFrame, libraries: DataFrame, user_id, library_id=None) -> DataFrame:
     """Rows of the libraries that a user reads, of one library where it is named. An empty user sees nothing."""
     if user_id is None:

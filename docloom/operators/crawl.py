@@ -65,6 +65,20 @@ def normal_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def page_path(base: Column, items: Column, title: Column) -> Column:
+    """The headings above a place on a page: a first one that repeats the page's title and empty ones are left out."""
+    inner = F.filter(items, lambda x: x != "")
+    own = F.coalesce(normal_text(F.get(inner, F.lit(0))) == normal_text(title), F.lit(False))
+    return F.concat(base, F.when(own, F.slice(inner, F.lit(2), F.size(inner))).otherwise(inner))
+
+
+def site_title(given: Column, seed_title: Column, seed: Column) -> Column:
+    """The name given, else the seed page's title, else its host, else its address."""
+    host = F.regexp_extract(seed, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    said = F.when(F.length(given) > 0, F.trim(given))
+    return F.coalesce(said, F.when(F.trim(seed_title) != "", F.trim(seed_title)), F.nullif(host, F.lit("")), seed)
+
+
 def chrome(blocks: DataFrame) -> DataFrame:
     """library_id, block_key, pages of short blocks that stand on half of a site's pages, and five at least."""
     keyed = blocks.select("library_id", "url", normal_text(F.col("text")).alias("block_key")).where((F.length("block_key") > 0) & (F.length("block_key") <= CHROME_CHARS))

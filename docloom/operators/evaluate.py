@@ -45,6 +45,18 @@ def self_query(heading_path: Column, text: Column) -> Column:
     return F.trim(F.concat_ws(" ", T.leaf(heading_path), F.array_join(longest, " ")))
 
 
+def overlap(text: Column, terms: list[str]) -> Column:
+    """How many of the terms (lower case) a text holds, inside words too."""
+    body = F.lower(text)
+    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(body, t)))
+
+
+def best_overlap(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, heading_path, found: each document's chunk that holds the most terms, the first among equals."""
+    found = chunks.select("doc_id", "heading_path", "ordinal", overlap(F.concat_ws(" ", "heading_path", "text"), terms).alias("found"))
+    return found.groupBy("doc_id").agg(F.max_by(F.struct("heading_path", "found"), F.struct("found", -F.col("ordinal"))).alias("b")).select("doc_id", "b.*")
+
+
 def index_share(chunks: DataFrame) -> DataFrame:
     """library_id, doc_id, share of its library's chunks."""
     per = chunks.groupBy("library_id", "doc_id").agg(F.count("*").alias("n"))

@@ -64,6 +64,17 @@ def status_view(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.select("id", "status", percent.alias("percent"), F.coalesce(stalled, F.lit(False)).alias("stalled"), seconds.alias("elapsed_seconds"))
 
 
+def progress(cur: Column, total: Column) -> Column:
+    """Count and whole percents (halves to even); empty without a total."""
+    shown = F.concat(cur.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), F.rint(100 * cur / total).cast("long").cast("string"), F.lit("%)"))
+    return F.coalesce(F.when(total > 0, shown), F.lit(""))
+
+
+def disposition(status: Column, permanent: Column) -> Column:
+    """Whether a failed job could have gone on: permanent or exhausted; null for any other job."""
+    return F.when(status == "failed", F.when(permanent, "permanent").otherwise("exhausted"))
+
+
 def active(jobs: DataFrame) -> DataFrame:
     """Open jobs, oldest first."""
     return jobs.where(F.col("status").isin(*OPEN)).orderBy("created_at", "id")

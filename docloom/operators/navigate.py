@@ -9,6 +9,7 @@ from docloom.functions import text as T
 
 #: Fixed values.
 CONTEXT_TOKENS, CONTEXT_SIDE, PAGES_AT_ONCE, TOP_HEADINGS = 6000, 50, 20, 15
+READ_DEFAULT, READ_MOST = 40, 200
 
 
 def outline(chunks: DataFrame, depth: int = 2) -> DataFrame:
@@ -48,6 +49,13 @@ def trimmed(span: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
     return kept.withColumn("_prefix", prefix).where((F.col("ordinal") <= F.col("anchor")) | (F.col("_prefix") <= budget)).drop("_suffix", "_prefix")
 
 
+def passages(chunks: DataFrame, start: int = 0, limit: int = READ_DEFAULT) -> DataFrame:
+    """A run of chunks of each document from an ordinal on; a limit out of range is the default, not the most."""
+    start = max(start, 0)
+    limit = limit if 0 < limit <= READ_MOST else READ_DEFAULT
+    return chunks.where(F.col("ordinal").between(start, start + limit - 1))
+
+
 def heading_contains(chunks: DataFrame, text: str) -> DataFrame:
     """Chunks whose heading path holds a text, whatever its case; nothing in it is a wildcard."""
     return chunks.where(F.contains(F.lower("heading_path"), F.lower(F.lit(text))))

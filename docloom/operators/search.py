@@ -30,6 +30,9 @@ class Search:
     k: int = DEFAULT_K
     section_filter: str | None = None
     include_keyword_reference: bool = False
+    #: One document, or libraries by id; all where unset. Statistics span whole libraries all the same.
+    doc_id: object = None
+    libraries: tuple = ()
 
     @property
     def depth(self) -> int:
@@ -124,6 +127,10 @@ def pools(chunks: DataFrame, ready: DataFrame, search: Search) -> DataFrame:
     scores = bm25(chunks, query_terms(search.query))
     if search.section_filter:
         scores = scores.where(T.within_section(F.col("heading_path"), search.section_filter))
+    if search.doc_id is not None:
+        scores = scores.where(F.col("doc_id") == search.doc_id)
+    if search.libraries:
+        scores = scores.where(F.col("library_id").isin(*search.libraries))
     order = Window.partitionBy("library_id", "doc_id").orderBy("bm25", "chunk_id")
     return (
         scores.join(ready.select("library_id", "doc_id"), ["library_id", "doc_id"], "left_semi")

@@ -159,6 +159,15 @@ def oracle_sql() -> dict[str, str]:
         "bm25_interleave": f"WITH {_ranked(WORDS, 3)} SELECT library_id, doc_id, chunk_id, adjusted, doc_rank, relevance FROM ranked",
         "bm25_per_library": f"WITH {_bm25(WORDS)} SELECT library_id, term, df, n AS chunks, round(avgdl, 6) AS mean_length FROM df JOIN lib USING (library_id)",
         "search_section_filter": _search(WORDS, 20, "heading_path = 'src8' OR starts_with(heading_path, 'src8 > ')"),
+        "search_one_document": _search(WORDS, 10, "doc_id = 8"),
+        "search_libraries": _search(WORDS, 10, "library_id IN ('de', 'none')"),
+        "read_passages": f"WITH {_CHUNKS} SELECT doc_id, chunk_id FROM chunks WHERE ordinal BETWEEN 2 AND 41",
+        "best_overlap": f"""WITH {_CHUNKS}, f AS (SELECT doc_id, heading_path, ordinal, CAST(len(list_filter({WORDS.split()}, lambda t: contains(lower(concat_ws(' ', heading_path, text)), t))) AS INTEGER) AS found FROM chunks)
+            SELECT doc_id, heading_path, found FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY found DESC, ordinal) AS r FROM f) WHERE r = 1""",
+        "library_lists": f"""WITH {_ACCESS}, h AS (SELECT user_id, library_id FROM roles JOIN libraries USING (library_id) WHERE NOT deleted AND rank >= 2)
+            SELECT c_custkey AS user_id, coalesce(string_agg(CAST(library_id AS VARCHAR), ',' ORDER BY library_id), '') AS libraries FROM customer LEFT JOIN h ON user_id = c_custkey GROUP BY 1""",
+        "job_notes": f"""WITH {_JOBS} SELECT id, CASE WHEN total > 0 THEN cur || '/' || total || ' (' || CAST(round_even(100.0 * cur / total, 0) AS BIGINT) || '%)' ELSE '' END AS progress,
+            CASE WHEN status = 'failed' THEN CASE WHEN id % 3 = 0 THEN 'permanent' ELSE 'exhausted' END END AS disposition FROM jobs""",
         "search_index_boost": f"WITH {_ranked('the thent ention', 3, boost=True)} SELECT doc_id, chunk_id, bm25, matched_book_index, adjusted, doc_rank FROM ranked",
         "search_keyword_penalty": _search(WORDS, 25),
         "search_keyword_included": _search(WORDS, 25, penalty=False),

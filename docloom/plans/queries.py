@@ -242,6 +242,15 @@ def block_groups(spark: SparkSession, d: str) -> DataFrame:
     return islands(C.chunks(spark, d), "doc_id", "ordinal", ["section", "heading_path"]).groupBy("doc_id", "unit").agg(F.min("ordinal").alias("first"), F.count("*").alias("blocks"))
 
 
+def library_lists(spark: SparkSession, d: str) -> DataFrame:
+    lists = access.library_lists(C.users(spark, d), _roles(spark, d), C.libraries(spark, d), "editor")
+    return lists.select("user_id", F.array_join(F.transform("libraries", lambda x: x.cast("string")), ",").alias("libraries"))
+
+
+def job_notes(spark: SparkSession, d: str) -> DataFrame:
+    return C.jobs(spark, d).select("id", jobs.progress(F.col("cur"), F.col("total")).alias("progress"), jobs.disposition(F.col("status"), F.col("id") % 3 == 0).alias("disposition"))
+
+
 def queries() -> dict[str, Query]:
     chunks, documents, sized, all_jobs, now = C.chunks, C.documents, C.sized, C.jobs, F.expr
     return {
@@ -250,6 +259,12 @@ def queries() -> dict[str, Query]:
         "bm25_interleave": bm25_interleave,
         "bm25_per_library": bm25_statistics,
         "search_section_filter": _searched(search.Search(WORDS, k=20, section_filter="src8")),
+        "search_one_document": _searched(search.Search(WORDS, k=10, doc_id=8)),
+        "search_libraries": _searched(search.Search(WORDS, k=10, libraries=("de", "none"))),
+        "read_passages": lambda s, d: navigate.passages(chunks(s, d), 2, 500).select("doc_id", "chunk_id"),
+        "best_overlap": lambda s, d: evaluate.best_overlap(chunks(s, d), search.query_terms(WORDS)),
+        "library_lists": library_lists,
+        "job_notes": job_notes,
         "search_index_boost": search_index_boost,
         "search_keyword_penalty": _searched(search.Search(WORDS, k=25)),
         "search_keyword_included": _searched(search.Search(WORDS, k=25, include_keyword_reference=True)),

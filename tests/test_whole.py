@@ -1,8 +1,9 @@
 """Queries over whole tables, on small tables that hold the cases they look for."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.operators import access
+from docloom.operators import access, crawl, navigate, search
 from docloom.plans import corpus, queries
 
 
@@ -26,3 +27,27 @@ def test_chosen_libraries(spark):
     assert [r.library_id for r in access.chosen(readable, ["peru"]).collect()] == [1]
     with pytest.raises(ValueError, match="china"):
         access.chosen(readable, ["peru", "china"])
+
+
+def test_page_paths_and_site_titles(spark):
+    path = spark.createDataFrame([(["Site"], ["", " The  page", "Part"], "the Page"), (["Site"], ["Part", ""], "other"), (["Site"], [""], "x"), (["Site"], ["A"], None)], "base array<string>, items array<string>, title string")
+    got = [r[0] for r in path.select(crawl.page_path(F.col("base"), F.col("items"), F.col("title"))).collect()]
+    assert got == [["Site", "Part"], ["Site", "Part"], ["Site"], ["Site", "A"]]
+    seeds = spark.createDataFrame([(" Mine ", "T", "http://h/a"), (None, " T ", "http://h/a"), ("", " ", "http://u@h:8080/a"), (None, None, "no address")], "given string, title string, seed string")
+    got = [r[0] for r in seeds.select(crawl.site_title(F.col("given"), F.col("title"), F.col("seed"))).collect()]
+    assert got == ["Mine", "T", "h", "no address"]
+
+
+def test_one_document_keeps_library_statistics(spark):
+    rows = [("a", 1, 10, 0, None, "", "red fox", "prose"), ("a", 2, 20, 0, None, "", "red", "prose"), ("b", 3, 30, 0, None, "", "red", "prose")]
+    chunks = spark.createDataFrame(rows, "library_id string, doc_id long, chunk_id long, ordinal int, section string, heading_path string, text string, kind string")
+    ready = chunks.select("library_id", "doc_id")
+    score = lambda **k: {r.chunk_id: r.bm25 for r in search.search(chunks, ready, search.Search("red", **k)).collect()}
+    whole = score()
+    assert score(doc_id=1) == {10: whole[10]} and score(libraries=("a",)) == {10: whole[10], 20: whole[20]}
+
+
+@pytest.mark.parametrize("limit, kept", [(0, 40), (-1, 40), (200, 199), (201, 40), (5, 5)])
+def test_read_limits(spark, limit, kept):
+    chunks = spark.range(200).selectExpr("1 AS doc_id", "CAST(id AS INT) AS ordinal")
+    assert navigate.passages(chunks, 1, limit).count() == kept
