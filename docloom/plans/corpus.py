@@ -79,6 +79,17 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).withColumn("tokens", T.token_estimate(F.col("text")))
 
 
+def enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks with sizes, those of every tenth document fifty times as large."""
+    return sized(spark, sf_dir).withColumn("tokens", F.expr("tokens * IF(doc_id % 10 = 3, 50, 1)"))
+
+
+def footed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks, every second one of which is a page's footer."""
+    footer = "CASE WHEN ordinal % 2 = 0 THEN concat('Printed for the reader, page ', ordinal, ' of the manual') ELSE text END"
+    return chunks(spark, sf_dir).withColumn("text", F.expr(footer))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
 

@@ -114,6 +114,9 @@ _LINES = r"""line_keys AS (
   FROM chunks WHERE length(trim(text, E' \t\r\f\v')) BETWEEN 20 AND 120 AND regexp_matches(text, '[\p{L}\p{Nl}\p{No}]'))"""
 _FINDINGS = _FINDINGS.replace(",\nfacts AS", f",\n{_LINES},\nfacts AS", 1)
 
+_FOOTED = _CHUNKS.replace("\n    text,", "\n    CASE WHEN ordinal % 2 = 0 THEN 'Printed for the reader, page ' || ordinal || ' of the manual' ELSE text END AS text,", 1)
+_ENLARGED = _FINDINGS.replace(" AS tokens FROM chunks)", " * CASE WHEN doc_id % 10 = 3 THEN 50 ELSE 1 END AS tokens FROM chunks)", 1)
+
 _ACCESS = """
 libraries AS (
   SELECT n_nationkey AS library_id, CASE WHEN n_nationkey % 6 <> 5 THEN lower(n_name) END AS slug, CAST(n_nationkey * 3 AS BIGINT) AS owner_id, n_nationkey % 10 = 7 AS deleted FROM nation),
@@ -159,7 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_interleave": f"WITH {_ranked(WORDS, 3)} SELECT library_id, doc_id, chunk_id, adjusted, doc_rank, relevance FROM ranked",
         "bm25_per_library": f"WITH {_bm25(WORDS)} SELECT library_id, term, df, n AS chunks, round(avgdl, 6) AS mean_length FROM df JOIN lib USING (library_id)",
         "search_section_filter": _search(WORDS, 20, "heading_path = 'src8' OR starts_with(heading_path, 'src8 > ')"),
-        "search_one_document": _search(WORDS, 10, "doc_id = 8"),
+        "search_one_document": _search(WORDS, 10, "doc_id = 1"),
         "search_libraries": _search(WORDS, 10, "library_id IN ('de', 'none')"),
         "read_passages": f"WITH {_CHUNKS} SELECT doc_id, chunk_id FROM chunks WHERE ordinal BETWEEN 2 AND 41",
         "best_overlap": f"""WITH {_CHUNKS}, f AS (SELECT doc_id, heading_path, ordinal, CAST(len(list_filter({WORDS.split()}, lambda t: contains(lower(concat_ws(' ', heading_path, text)), t))) AS INTEGER) AS found FROM chunks)
@@ -219,9 +222,9 @@ def oracle_sql() -> dict[str, str]:
               first(heading_path ORDER BY n DESC, first) AS largest, max(n) AS largest_size FROM p GROUP BY 1""",
         "verdict": f"""WITH {_FINDINGS}, w AS (SELECT doc_id, max(CASE WHEN severity = 'unusable' THEN 2 ELSE 1 END) AS worst FROM findings GROUP BY 1)
             SELECT doc_id, CASE WHEN worst = 2 OR chunk_count = 0 THEN 'unusable' WHEN worst = 1 THEN 'degraded' ELSE 'good' END AS verdict FROM docs LEFT JOIN w USING (doc_id)""",
-        "grade_boilerplate": f"""WITH {_CHUNKS}, {_LINES}, n AS (SELECT library_id, count(*) AS chunks FROM chunks GROUP BY 1),
-            t AS (SELECT library_id, key AS line_key, count(DISTINCT chunk_id) AS times FROM line_keys GROUP BY 1, 2)
-            SELECT library_id, line_key, times, chunks FROM t JOIN n USING (library_id) WHERE times >= greatest(8, floor(chunks * 0.25))""",
+        "grade_boilerplate": f"""WITH {_FOOTED}, {_LINES}, n AS (SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY 1),
+            t AS (SELECT doc_id, key AS line_key, count(DISTINCT chunk_id) AS times FROM line_keys GROUP BY 1, 2)
+            SELECT doc_id, line_key, times FROM t JOIN n USING (doc_id) WHERE times >= greatest(8, floor(chunks * 0.25))""",
         "classify_kinds": rf"""WITH {_CHUNKS}, f AS (
               SELECT doc_id, chunk_id, CASE WHEN len(string_split(heading_path, ' > ')) > 2 AND string_split(heading_path, ' > ')[2] = 'Glossary' THEN string_split(heading_path, ' > ')[1] || ' > Glossary' END AS family,
                 len(regexp_extract_all(string_split(heading_path, ' > ')[-1], '[\p{{L}}\p{{Nl}}\p{{No}}]+')) <= 4 AS short FROM chunks),
@@ -286,7 +289,7 @@ def oracle_sql() -> dict[str, str]:
         "url_normalise": f"WITH {_URL} SELECT page_id, normal FROM normal",
         "coverage_union": f"""WITH {_URL}, u AS (SELECT normal AS url, page_id AS place, 0 AS source FROM normal WHERE page_id % 3 = 0 UNION ALL SELECT normal, page_id, 1 FROM normal WHERE page_id % 2 = 0 UNION ALL SELECT normal, page_id, 2 FROM normal)
             SELECT url, source, place FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source, place) AS n FROM u) WHERE n = 1""",
-        "site_chrome": r"""WITH b AS (SELECT url, unnest(regexp_extract_all(html, '<(?:a|div)[^>]*>([^<]+)</', 1)) AS t FROM pages),
+        "site_chrome": r"""WITH b AS (SELECT url, unnest(list_concat(regexp_extract_all(html, '<(?:a|div)[^>]*>([^<]+)</', 1), [' All  Pages', 'Over ' || regexp_extract(url, '^[a-z]+')])) AS t FROM pages),
             k AS (SELECT DISTINCT url, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS block_key FROM b), n AS (SELECT count(DISTINCT url) AS n FROM b)
             SELECT 'site' AS library_id, block_key, count(*) AS pages FROM k, n WHERE length(block_key) BETWEEN 1 AND 200 GROUP BY block_key, n HAVING n >= 5 AND count(*) >= greatest(5, floor(n * 0.5))""",
         "soft404_resemblance": r"""WITH a AS (SELECT k, token, count(*) AS n FROM (SELECT doc_id AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents WHERE doc_id IS NOT NULL) GROUP BY 1, 2),
@@ -332,5 +335,5 @@ def oracle_sql() -> dict[str, str]:
     out["grouped_results"] = f"""SELECT library_id, doc_id, min(rank) AS best, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS chunk_ids
         FROM ({_search(WORDS, 40)}) GROUP BY 1, 2"""
     for name, code in (("oversized", "oversized"), ("fragmented", "fragmented"), ("flat", "flat_hierarchy"), ("figure", "figure_dominated"), ("unaddressable", "unaddressable")):
-        out[f"grade_{name}"] = f"WITH {_FINDINGS} SELECT * FROM findings WHERE code = '{code}'"
+        out[f"grade_{name}"] = f"WITH {_ENLARGED if name == 'oversized' else _FINDINGS} SELECT * FROM findings WHERE code = '{code}'"
     return out

@@ -91,7 +91,7 @@ def verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grade_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    return grade.repeated_lines(C.chunks(spark, d).withColumn("doc_id", F.col("library_id"))).withColumnRenamed("doc_id", "library_id")
+    return grade.repeated_lines(C.footed(spark, d)).drop("chunks")
 
 
 def _roles(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,9 @@ def coverage_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_chrome(spark: SparkSession, d: str) -> DataFrame:
-    blocks = C.table(spark, d, "pages").select(F.lit("site").alias("library_id"), "url", F.explode(F.regexp_extract_all("html", F.lit(r"<(?:a|div)[^>]*>([^<]+)</"), 1)).alias("text"))
+    """Every page has a menu of two blocks beside its own."""
+    menu = F.array(F.lit(" All  Pages"), F.concat(F.lit("Over "), F.regexp_extract("url", "^[a-z]+", 0)))
+    blocks = C.table(spark, d, "pages").select(F.lit("site").alias("library_id"), "url", F.explode(F.concat(F.regexp_extract_all("html", F.lit(r"<(?:a|div)[^>]*>([^<]+)</"), 1), menu)).alias("text"))
     return crawl.chrome(blocks)
 
 
@@ -259,7 +261,7 @@ def queries() -> dict[str, Query]:
         "bm25_interleave": bm25_interleave,
         "bm25_per_library": bm25_statistics,
         "search_section_filter": _searched(search.Search(WORDS, k=20, section_filter="src8")),
-        "search_one_document": _searched(search.Search(WORDS, k=10, doc_id=8)),
+        "search_one_document": _searched(search.Search(WORDS, k=10, doc_id=1)),
         "search_libraries": _searched(search.Search(WORDS, k=10, libraries=("de", "none"))),
         "read_passages": lambda s, d: navigate.passages(chunks(s, d), 2, 500).select("doc_id", "chunk_id"),
         "best_overlap": lambda s, d: evaluate.best_overlap(chunks(s, d), search.query_terms(WORDS)),
@@ -285,7 +287,7 @@ def queries() -> dict[str, Query]:
         "uncovered_pages": lambda s, d: grade.uncovered_pages(chunks(s, d), documents(s, d)),
         "measures": lambda s, d: grade.measures(chunks(s, d), documents(s, d)),
         "section_counts": lambda s, d: grade.section_counts(chunks(s, d)),
-        "grade_oversized": _graded("oversized"),
+        "grade_oversized": lambda s, d: grade.findings(C.enlarged(s, d)).where("code = 'oversized'"),
         "grade_fragmented": _graded("fragmented"),
         "grade_flat": _graded("flat_hierarchy"),
         "grade_figure": _graded("figure_dominated"),
