@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+
 #: Fixed values.
 CHROME_CHARS, CHROME_PAGES, CHROME_SHARE = 200, 5, 0.5
 SOFT_RESEMBLES, SOFT_TOKENS, SOFT_COVERS = 0.7, 8, 0.9
 WALK_DEPTH, WALK_BUDGET = 3, 500
+#: Word counts of probes that one pass holds, and cells of its table of texts by probes.
+PROBE_WORDS, CELLS = 1_000_000, 1 << 20
+#: The session's limit of Arrow batches in bytes, and its value where none is set: a batch of long texts stays small.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def normal_url(url: Column) -> Column:
@@ -116,6 +126,101 @@ def resemblance(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+class _Probes:
+    """Word counts of some probes as posting lists, and the words that texts share with them."""
+
+    def __init__(self, bag: pa.Table):
+        keys, words = bag["key"].combine_chunks().dictionary_encode(), bag["token"].combine_chunks().dictionary_encode()
+        self.keys, self.words = keys.dictionary, words.dictionary
+        probe, word, n = keys.indices.to_numpy(), words.indices.to_numpy(), bag["n"].to_numpy()
+        self.totals = np.bincount(probe, n, len(self.keys)).astype(np.int64)
+        order = np.argsort(word, kind="stable")
+        self.probe, self.n = probe[order].astype(np.int64), n[order]
+        self.sizes = np.bincount(word, minlength=len(self.words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def shared(self, text: np.ndarray, words: pa.Array, texts: int) -> np.ndarray:
+        """texts by probes; ``words`` and the text that each stands in."""
+        found = pc.index_in(words, self.words)
+        text, word = text[found.is_valid().to_numpy(zero_copy_only=False)], found.drop_null().to_numpy().astype(np.int64)
+        at, n = np.unique(text * len(self.words) + word, return_counts=True)
+        text, word = np.divmod(at, len(self.words))
+        out = np.zeros(texts * len(self.keys), np.int64)
+        sizes = self.sizes[word]
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(word):  # no more postings at once than cells, one word's at least
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CELLS, "right")))
+            size = sizes[first:last]
+            posting = np.repeat(self.starts[word[first:last]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            cell = np.repeat(text[first:last] * len(self.keys), size) + self.probe[posting]
+            np.add.at(out, cell, np.minimum(np.repeat(n[first:last], size), self.n[posting]))
+            first = last
+        return out.reshape(texts, len(self.keys))
+
+
+def text_resemblance(texts: DataFrame, probes: DataFrame) -> DataFrame:
+    """The rows of resemblance for texts (key, text) held against probes (key, text); rows of one key are one text.
+
+    Texts go to their key's partition once and their pairs are made there, so no pair is shuffled. Probes of more
+    than a million word counts are taken in parts, one pass over the texts each.
+    """
+    spark = texts.sparkSession
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    bag = bags(probes.where("key is not null and text is not null"), "key")
+    parts = -(-bag.count() // PROBE_WORDS)
+    kinds = texts.schema["key"].dataType.simpleString(), probes.schema["key"].dataType.simpleString()
+    schema = f"a_key {kinds[0]}, b_key {kinds[1]}, shared long, a_total long, b_total long"
+    placed = texts.where("key is not null and text is not null").select("key", "text").repartition("key").sortWithinPartitions("key")
+    worded = placed.select("key", T.words(F.col("text")).alias("words"))
+
+    def passed(part: int) -> DataFrame:
+        rows = bag if parts == 1 else bag.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
+        held = spark.sparkContext.broadcast(_Probes(rows.select("key", "token", "n").toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = held.value
+            rest = None
+            for batch in batches:
+                if batch.num_rows:
+                    table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                    last = pc.index(table["key"], table["key"][-1]).as_py()  # the last key may go on in the next batch
+                    rest = table.slice(last)
+                    yield from _paired(table.slice(0, last), index)
+            if rest is not None:
+                yield from _paired(rest, index)
+
+        return worded.mapInArrow(run, schema)
+
+    if parts == 0:
+        return spark.createDataFrame([], schema).select("a_key", "b_key", "shared", F.lit(0.0).alias("resembles"), "a_total", "b_total")
+    pairs = reduce(DataFrame.unionByName, map(passed, range(parts)))
+    return pairs.select("a_key", "b_key", "shared", F.round(F.col("shared") / F.greatest("a_total", "b_total"), 6).alias("resembles"), "a_total", "b_total")
+
+
+def _paired(table: pa.Table, index: _Probes) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts (key, words; rows of a key are neighbours) and probes that share a word."""
+    if not table.num_rows or not len(index.keys):
+        return
+    lists = table["words"].combine_chunks()
+    words, parent = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+    keys = table["key"].combine_chunks()
+    new = np.ones(len(keys), bool)
+    new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+    text, heads = (np.cumsum(new) - 1)[parent], np.flatnonzero(new)
+    totals = np.bincount(text, minlength=len(heads))
+    step = max(1, CELLS // len(index.keys))
+    for first in range(0, len(heads), step):
+        last = min(first + step, len(heads))
+        a, b = np.searchsorted(text, [first, last])
+        shared = index.shared(text[a:b] - first, words[a:b], last - first)
+        row, probe = np.nonzero(shared)
+        if len(row):
+            columns = [keys.take(pa.array(heads[first + row])), index.keys.take(pa.array(probe)), pa.array(shared[row, probe]), pa.array(totals[first + row]), pa.array(index.totals[probe])]
+            yield pa.RecordBatch.from_arrays(columns, ["a_key", "b_key", "shared", "a_total", "b_total"])
+
+
 def soft_absent(pages: DataFrame, probes: DataFrame) -> DataFrame:
     """key, covers of pages that hold nine tenths of what both probes of missing pages share."""
     keys = probes.select("key").distinct().count()

@@ -180,7 +180,7 @@ def soft404_resemblance(spark: SparkSession, d: str) -> DataFrame:
     items = C.table(spark, d, "benchmark").where("item_id is not null")
     texts = C.table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").alias("key"), "text")
     probes = items.select(F.col("item_id").alias("key"), "text")
-    return crawl.resemblance(crawl.bags(texts, "key"), crawl.bags(probes, "key")).select(F.col("a_key").alias("doc_id"), F.col("b_key").alias("item_id"), "shared", "resembles")
+    return crawl.text_resemblance(texts, probes).select(F.col("a_key").alias("doc_id"), F.col("b_key").alias("item_id"), "shared", "resembles")
 
 
 def digest_dedup(spark: SparkSession, d: str) -> DataFrame:
