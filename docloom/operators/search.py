@@ -56,10 +56,16 @@ FACTS = ("ordinal", "section", "heading_path", "kind")
 
 
 def counted(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Keys and facts of every chunk, its length in words and tf, the counts of the query's terms in their order."""
-    tf = [F.size(F.filter("_tokens", (lambda t: lambda x: x == t)(t))) for t in terms]
-    tokens = chunks.withColumn("_tokens", T.words(scored_field(F.col("heading_path"), F.col("text"))))
-    return tokens.select("library_id", "doc_id", "chunk_id", *[c for c in FACTS if c in chunks.columns], F.size("_tokens").cast("long").alias("length"), F.array(*tf).alias("tf"))
+    """Keys and facts of every chunk, its length in words and tf, the counts of the query's terms in their order.
+
+    The words come out of an inline(), through which no filter is pushed: one on tf would else cut the text anew
+    for each term.
+    """
+    facts = ["library_id", "doc_id", "chunk_id", *[c for c in FACTS if c in chunks.columns]]
+    words = T.words(scored_field(F.col("heading_path"), F.col("text")))
+    tokens = chunks.select(*facts, F.inline(F.array(F.struct(words.alias("_tokens")))))
+    tf = [F.size("_tokens") - F.size(F.array_remove("_tokens", t)) for t in terms]
+    return tokens.select(*facts, F.size("_tokens").cast("long").alias("length"), F.array(*tf).alias("tf"))
 
 
 def library_statistics(counts: DataFrame, terms: list[str]) -> DataFrame:
@@ -92,7 +98,7 @@ def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
     score = part(0)
     for n in range(1, len(terms)):
         score = score + part(n)
-    hits = counts.where(F.exists("tf", lambda x: x > 0))
+    hits = counts.where(F.array_max("tf") > 0)
     return hits.join(statistics, "library_id").withColumn("bm25", F.round(-score, PLACES)).drop("tf", "df", "length", "chunks", "mean_length")
 
 
@@ -111,15 +117,13 @@ def term_sections(index_terms: DataFrame, query: str) -> DataFrame:
 
 
 def boosted(found: DataFrame, sections: DataFrame) -> DataFrame:
-    """library_id, doc_id, chunk_id of rows whose section lies under a matched one: an equi-join on ancestors."""
-    wanted = sections.select("library_id", "doc_id", F.col("section").alias("ancestor"))
-    return (
-        found.where(F.length("section") > 0)
-        .select("library_id", "doc_id", "chunk_id", F.explode(T.ancestors(F.col("section"))).alias("ancestor"))
-        .join(wanted, ["library_id", "doc_id", "ancestor"], "left_semi")
-        .select("library_id", "doc_id", "chunk_id")
-        .distinct()
-    )
+    """Adds matched_book_index: whether a row's section lies under a matched one of its document.
+
+    The matched sections come as one list a document, so the rows are made once and stay where their documents are.
+    """
+    wanted = sections.where("section is not null").groupBy("library_id", "doc_id").agg(F.collect_set("section").alias("_wanted"))
+    under = (F.length("section") > 0) & F.arrays_overlap(T.ancestors(F.col("section")), F.col("_wanted"))
+    return found.join(wanted, ["library_id", "doc_id"], "left").withColumn("matched_book_index", F.coalesce(under, F.lit(False))).drop("_wanted")
 
 
 def pools(chunks: DataFrame, ready: DataFrame, search: Search) -> DataFrame:
@@ -143,8 +147,7 @@ def ranked(chunks: DataFrame, ready: DataFrame, search: Search, index_terms: Dat
     """Adds adjusted, matched_book_index, doc_rank and relevance to pools, cut to k a document."""
     found = pools(chunks, ready, search)
     if index_terms is not None:
-        marks = boosted(found, term_sections(index_terms, search.query)).withColumn("matched_book_index", F.lit(True))
-        found = found.join(marks, ["library_id", "doc_id", "chunk_id"], "left").withColumn("matched_book_index", F.coalesce("matched_book_index", F.lit(False)))
+        found = boosted(found, term_sections(index_terms, search.query))
     else:
         found = found.withColumn("matched_book_index", F.lit(False))
     penalty = F.lit(0.0) if search.include_keyword_reference else F.when(F.col("kind") == "keyword-reference", KEYWORD_PENALTY).otherwise(0.0)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import crawl
+from docloom.operators import crawl, search
 from docloom.plans import queries
 
 
@@ -33,3 +33,29 @@ def test_soft404_plan_has_one_exchange(spark, tmp_path):
     spark.createDataFrame([(7, "page not found")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "not")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert plan(queries.queries()["soft404_resemblance"](spark, str(tmp_path))).count("Exchange ") == 1
+
+
+#: Queries by words, and how often their plans cut chunks into words: for the statistics, and for the scores.
+SEARCHES = ["search_index_boost"]
+
+
+def write_documents(spark, path):
+    rows = [(n, None if n % 5 == 4 else "The license of Version. the THE thention license\nother lines of it. version thent. " * (n % 4), ["de", None, "en"][n % 3], f"src{n % 3}") for n in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2).write.parquet(f"{path}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_chunks_are_cut_into_words_twice(spark, tmp_path, name):
+    write_documents(spark, tmp_path)
+    found = queries.queries()[name](spark, str(tmp_path))
+    assert found.count() > 0
+    assert plan(found).split("Initial Plan")[0].count("regexp_extract_all(") == 2
+
+
+def test_boost_marks_rows_under_a_section_and_makes_them_once(spark):
+    rows = [("a", 1, 1, "2.1"), ("a", 1, 2, "2.10"), ("a", 1, 3, "2"), ("a", 1, 4, None), ("a", 1, 5, ""), ("b", 1, 6, "2.1"), ("a", 1, 7, "2.1.4"), (None, 2, 8, "1")]
+    found = spark.createDataFrame(rows, "library_id string, doc_id long, chunk_id long, section string")
+    wanted = spark.createDataFrame([("a", 1, "2.1"), ("a", 1, "2.1"), ("a", 1, ""), ("a", 1, None), (None, 2, "1"), ("a", 3, "2")], "library_id string, doc_id long, section string")
+    marked = search.boosted(found, wanted)
+    assert {r.chunk_id for r in marked.where("matched_book_index").collect()} == {1, 7} and marked.count() == 8
+    assert marked.columns == [*found.columns, "matched_book_index"]
