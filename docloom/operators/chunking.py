@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +47,53 @@ CHUNK = (
 )
 
 
+#: Characters of chunks that an Arrow batch goes out with.
+BATCH_CHARS = 1 << 20
+
+
 def chunk_documents(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks of each document's blocks; ``blocks`` has key, block_no and the block fields (see chunkrules).
 
-    The rules feed each merge into the next, so a document is one kernel call; documents are the unit of
-    parallelism, and a call holds one document's blocks. Kinds are set afterwards by classify_kinds.
+    The rules feed each merge into the next, so a document is one kernel call; a partition's documents follow each
+    other in one stream of batches, and a call holds one document's blocks. Kinds are set afterwards by
+    classify_kinds.
     """
     kind = blocks.schema[key].dataType.simpleString()
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = chunk_rows(frame.sort_values("block_no").to_dict("records"))
-        out = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in CHUNK.split(",")])
-        out.insert(0, key, frame[key].iloc[0])
-        return out
-
-    return blocks.groupBy(key).applyInPandas(cut, f"{key} {kind}, {CHUNK}")
-
-
+    columns = [c.strip().split(" ") for c in CHUNK.split(",")]
+    types = {"int": pa.int32(), "string": pa.string()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows, held, size = [], [], [], 0
+
+        def close(out: pa.DataType) -> pa.RecordBatch:
+            arrays = [pa.array(keys, out), *(pa.array([r[name] for r in rows], types[t]) for name, t in columns)]
+            return pa.RecordBatch.from_arrays(arrays, [key, *(name for name, _ in columns)])
+
+        def take() -> int:
+            found = chunk_rows(held)
+            rows.extend(found)
+            keys.extend([held[0][key]] * len(found))
+            held.clear()
+            return sum(len(r["text"]) for r in found)
+
+        out = None
+        for batch in batches:
+            out = batch.schema.field(key).type
+            for row in batch.to_pylist():
+                if held and not _same(row[key], held[0][key]):
+                    size += take()
+                    if size > BATCH_CHARS:
+                        yield close(out)
+                        keys, rows, size = [], [], 0
+                held.append(row)
+        if held:
+            take()
+            yield close(out)
+
+    placed = blocks.repartition(key).sortWithinPartitions(key, "block_no")
+    return placed.mapInArrow(cut, f"{key} {kind}, {CHUNK}")
+
+
+def _same(a, b) -> bool:
+    """Whether two keys are one group; so are two nulls, and two that are no number."""
+    return a == b or (a != a and b != b)

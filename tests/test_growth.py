@@ -1,9 +1,9 @@
 """Steps whose work or traffic outgrew the input: what their plans hold, and the same rows as the plain forms."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from docloom.operators import crawl, search
+from docloom.functions import chunkrules
+from docloom.operators import chunking, crawl, search
 from docloom.plans import queries
 
 
@@ -59,3 +59,18 @@ def test_boost_marks_rows_under_a_section_and_makes_them_once(spark):
     marked = search.boosted(found, wanted)
     assert {r.chunk_id for r in marked.where("matched_book_index").collect()} == {1, 7} and marked.count() == 8
     assert marked.columns == [*found.columns, "matched_book_index"]
+
+
+def test_chunks_are_cut_in_a_stream_of_documents(spark, monkeypatch):
+    rows = [(n % 9 if n % 9 else None, n // 9, f"block {n} " * (1 + 90 * (n % 4)), ["Part"], None) for n in range(90)]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_no int, text string, heading_path array<string>, section string")
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+        found = chunkrules.chunk_rows([dict(zip(blocks.columns, r, strict=True)) for r in mine])
+        want += [repr((key, *r.values())) for r in found]
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 3000)
+    cut = chunking.chunk_documents(blocks)
+    assert sorted(repr(tuple(r)) for r in cut.collect()) == sorted(want) and len(want) > 9
+    assert cut.columns[:2] == ["doc_id", "ordinal"] and "FlatMapGroups" not in plan(cut)
+    assert chunking.chunk_documents(blocks.where("false")).count() == 0
