@@ -25,10 +25,15 @@ def words(text: Column) -> Column:
 
 
 def atoms(text: Column) -> Column:
-    """Words and signs, each wide character as 1 / 1.3 atom, rounded half to even as a whole."""
+    """Words and signs, each wide character as 1 / 1.3 atom, rounded half to even as a whole.
+
+    A wide character has three bytes or more, so a text with less than two bytes beyond its characters has none.
+    """
+    count = lambda t: F.size(F.regexp_extract_all(t, F.lit(ATOM), 0))
     wide = F.regexp_count(text, F.lit(WIDE))
-    rest = F.size(F.regexp_extract_all(F.regexp_replace(text, WIDE, " "), F.lit(ATOM), 0))
-    return (rest + F.rint(wide / F.lit(SUBWORD))).cast("long")
+    whole = (count(F.regexp_replace(text, WIDE, " ")) + F.rint(wide / F.lit(SUBWORD))).cast("long")
+    none = (F.octet_length(text) - F.char_length(text) < 2) | ~text.rlike(WIDE)
+    return F.when(none, count(text).cast("long")).otherwise(whole)
 
 
 def tokens_of(atom_count: Column) -> Column:
@@ -90,8 +95,18 @@ def within_section(path: Column, wanted: str) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """The spelling under which repeated lines count as one: runs of white space, then of digits, folded."""
-    return F.regexp_replace(F.regexp_replace(line, r"[\t\n\f\r ]+", " "), "[0-9]+", "#")
+    """The spelling under which repeated lines count as one: runs of white space, then of digits, folded.
+
+    Single spaces stay as they are, so most lines have nothing to fold.
+    """
+    spaced = F.when(line.rlike(r"[\t\n\f\r]|  "), F.regexp_replace(line, r"[\t\n\f\r ]+", " ")).otherwise(line)
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[0-9]+", "#")).otherwise(spaced)
+
+
+def bare(line: Column) -> Column:
+    """A line without white space at its ends; it holds no line end."""
+    outer = F.concat(F.substring(line, 1, 1), F.substring(line, -1, 1))
+    return F.when(outer.rlike(r"[\s\x{a0}]"), F.regexp_replace(line, r"^[\s\x{a0}]+|[\s\x{a0}]+$", "")).otherwise(line)
 
 
 def normal_title(text: Column) -> Column:

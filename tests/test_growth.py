@@ -1,9 +1,10 @@
 """Steps whose work or traffic outgrew the input: what their plans hold, and the same rows as the plain forms."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.functions import chunkrules
-from docloom.operators import chunking, crawl, search
+from docloom.functions import chunkrules, text
+from docloom.operators import chunking, crawl, grade, search
 from docloom.plans import queries
 
 
@@ -74,3 +75,33 @@ def test_chunks_are_cut_in_a_stream_of_documents(spark, monkeypatch):
     assert sorted(repr(tuple(r)) for r in cut.collect()) == sorted(want) and len(want) > 9
     assert cut.columns[:2] == ["doc_id", "ordinal"] and "FlatMapGroups" not in plan(cut)
     assert chunking.chunk_documents(blocks.where("false")).count() == 0
+
+
+def test_verify_reads_texts_for_sizes_lines_and_terms_only(spark, tmp_path):
+    write_documents(spark, tmp_path)
+    found = queries.queries()["verify"](spark, str(tmp_path))
+    assert found.count() == 20
+    # texts are split into chunks for the lines and the index terms; sizes and positions come from the written table
+    assert plan(found).count("posexplode(") == 2 and "/chunks-" in plan(found)
+
+
+def test_verdict_cuts_chunks_twice(spark, tmp_path):
+    write_documents(spark, tmp_path)
+    assert plan(queries.queries()["verdict"](spark, str(tmp_path))).count("posexplode(") == 2
+
+
+def test_lines_and_sizes_keep_their_rules(spark):
+    lines = ["  spaced out line of words 12 ", "\xa0no-break space at both ends\xa0", "tab\there and  two spaces 4711", "ünïcode façade çà et là 日本語 ok", "wide 日本 ok", "plain ascii, signs!", "", None, "é日", "a " + "b" * 30]
+    rows = spark.createDataFrame([(line,) for line in lines], "line string")
+    space, key, size = r"^[\s\x{a0}]+|[\s\x{a0}]+$", lambda c: F.regexp_replace(F.regexp_replace(c, r"[\t\n\f\r ]+", " "), "[0-9]+", "#"), F.regexp_count("line", F.lit(text.WIDE))
+    atoms = (F.size(F.regexp_extract_all(F.regexp_replace("line", text.WIDE, " "), F.lit(text.ATOM), 0)) + F.rint(size / 1.3)).cast("long")
+    line = F.col("line")
+    got = rows.select(text.bare(line), text.line_key(line), text.atoms(line)).collect()
+    assert got == rows.select(F.regexp_replace(line, space, ""), key(line), atoms).collect()
+
+
+def test_repeated_lines_count_chunks_once_and_skip_nulls(spark):
+    line = "the same line on each page 12"
+    rows = [(1, n, f"{line}\n  {line}\r\nshort") for n in range(9)] + [(1, n, "x") for n in range(9, 30)] + [(1, 0, line), (1, 31, None), (2, 0, line)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id long, text string")
+    assert [tuple(r) for r in grade.repeated_lines(chunks).collect()] == [(1, "the same line on each page #", 9, 32)]
