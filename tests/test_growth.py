@@ -37,7 +37,7 @@ def test_soft404_plan_has_one_exchange(spark, tmp_path):
 
 
 #: Queries by words, and how often their plans cut chunks into words: for the statistics, and for the scores.
-SEARCHES = ["search_index_boost", "search_keyword_included", "bm25_interleave", "bm25_topk", "search_keyword_penalty"]
+SEARCHES = ["search_index_boost", "search_keyword_included", "bm25_interleave", "bm25_topk", "search_keyword_penalty", "grouped_results"]
 
 
 def write_documents(spark, path):
