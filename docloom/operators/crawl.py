@@ -18,7 +18,7 @@ CHROME_CHARS, CHROME_PAGES, CHROME_SHARE = 200, 5, 0.5
 SOFT_RESEMBLES, SOFT_TOKENS, SOFT_COVERS = 0.7, 8, 0.9
 WALK_DEPTH, WALK_BUDGET = 3, 500
 #: Word counts of probes that one pass holds, and cells of its table of texts by probes.
-PROBE_WORDS, CELLS = 1_000_000, 1 << 20
+PROBE_WORDS, CELLS = 1_000_000, 1 << 18
 #: The session's limit of Arrow batches in bytes, and its value where none is set: a batch of long texts stays small.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
