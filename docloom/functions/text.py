@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}_]+"
+WORD, NO_WORD = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 ATOM = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 #: Scripts counted by character, scripts whose estimate is uncalibrated, and the factor.
 WIDE = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
@@ -21,7 +21,17 @@ PATH_SEP = " > "
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
+    return cut(F.lower(text))
+
+
+def cut(lowered: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.regexp_extract_all(lowered, F.lit(WORD), 0)
+
+
+def parts(lowered: Column) -> Column:
+    """The words of a short text in lower case, by what lies between them."""
+    return F.array_remove(F.split(lowered, NO_WORD), "")
 
 
 def atoms(text: Column) -> Column:

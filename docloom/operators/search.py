@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,25 +49,26 @@ def query_terms(query: str) -> list[str]:
     return found
 
 
-def scored_field(heading: Column, text: Column) -> Column:
-    """Heading twice and text once, as one field."""
-    return F.concat_ws(" ", heading, heading, text)
-
-
 FACTS = ("ordinal", "section", "heading_path", "kind")
 
 
-def counted(chunks: DataFrame, terms: list[str]) -> DataFrame:
+def counted(chunks: DataFrame, terms: list[str], holding: bool = False) -> DataFrame:
     """Keys and facts of every chunk, its length in words and tf, the counts of the query's terms in their order.
 
-    The words come out of an inline(), through which no filter is pushed: one on tf would else cut the text anew
-    for each term.
+    A heading counts twice and is cut once. ``holding``: of the chunks with a term's letters only, as others hold no
+    term; they are not cut. Lower case and words come out of inline(), through which no filter is pushed: one on tf
+    would else cut the text anew for each term.
     """
     facts = ["library_id", "doc_id", "chunk_id", *[c for c in FACTS if c in chunks.columns]]
-    words = T.words(scored_field(F.col("heading_path"), F.col("text")))
-    tokens = chunks.select(*facts, F.inline(F.array(F.struct(words.alias("_tokens")))))
-    tf = [F.size("_tokens") - F.size(F.array_remove("_tokens", t)) for t in terms]
-    return tokens.select(*facts, F.size("_tokens").cast("long").alias("length"), F.array(*tf).alias("tf"))
+    lowered = [F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("heading_path", "text")]
+    low = chunks.select(*facts, F.inline(F.array(F.struct(*lowered))))
+    if holding:
+        low = low.where(reduce(or_, [F.contains(c, F.lit(t)) for c in ("_heading_path", "_text") for t in terms]))
+    words = F.struct(T.parts(F.col("_heading_path")).alias("_heading"), T.cut(F.col("_text")).alias("_words"))
+    tokens = low.select(*facts, F.inline(F.array(words)))
+    times = lambda c, t: F.size(c) - F.size(F.array_remove(c, t))
+    tf = [times("_heading", t) * 2 + times("_words", t) for t in terms]
+    return tokens.select(*facts, (F.size("_heading") * 2 + F.size("_words")).cast("long").alias("length"), F.array(*tf).alias("tf"))
 
 
 def library_statistics(counts: DataFrame, terms: list[str]) -> DataFrame:
@@ -87,8 +90,7 @@ def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
     A score is an expression over the chunk's own counts and its library's statistics, so the only shuffle is
     that of the statistics, a row for each library and task.
     """
-    counts = counted(chunks, terms)
-    statistics = library_statistics(counts, terms)
+    statistics = library_statistics(counted(chunks, terms), terms)
 
     def part(n: int) -> Column:
         tf, df = F.col("tf")[n], F.col("df")[n]
@@ -98,7 +100,7 @@ def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
     score = part(0)
     for n in range(1, len(terms)):
         score = score + part(n)
-    hits = counts.where(F.array_max("tf") > 0)
+    hits = counted(chunks, terms, holding=True).where(F.array_max("tf") > 0)
     return hits.join(statistics, "library_id").withColumn("bm25", F.round(-score, PLACES)).drop("tf", "df", "length", "chunks", "mean_length")
 
 

@@ -53,6 +53,25 @@ def test_chunks_are_cut_into_words_twice(spark, tmp_path, name):
     assert plan(found).split("Initial Plan")[0].count("regexp_extract_all(") == 2
 
 
+@pytest.mark.parametrize("name", SEARCHES[1:2])
+def test_headings_are_cut_once_and_chunks_without_a_term_are_not(spark, tmp_path, name):
+    write_documents(spark, tmp_path)
+    held = plan(queries.queries()[name](spark, str(tmp_path)))
+    assert "Contains(_text" in held and "concat_ws( , " not in held
+
+
+def test_counts_are_those_of_the_heading_twice_and_the_text(spark):
+    said = [("The Σ of ΑΣ", "of the, THE_the ΑΣ"), (None, "thé of"), ("of", None), (None, None), ("", "often"), ("a > of > 日本", "日本 \U00020000 of२ İ"), ("often", "the\x01the")]
+    rows = spark.createDataFrame([("a", n % 3, n, *s, "prose") for n, s in enumerate(said)], "library_id string, doc_id long, chunk_id long, heading_path string, text string, kind string")
+    terms = ["the", "of", "ας", "日本", "i̇"]
+    words = text.words(F.concat_ws(" ", "heading_path", "heading_path", "text"))
+    times = lambda t: F.size(F.filter(words, lambda w: w == t))
+    want = rows.select("chunk_id", F.size(words).cast("long").alias("length"), F.array(*map(times, terms)).alias("tf")).orderBy("chunk_id")
+    assert search.counted(rows, terms).select("chunk_id", "length", "tf").orderBy("chunk_id").collect() == want.collect()
+    held = search.counted(rows, terms, holding=True).where(F.array_max("tf") > 0).select("chunk_id", "length", "tf").orderBy("chunk_id")
+    assert held.collect() == want.where(F.array_max("tf") > 0).collect()
+
+
 def test_boost_marks_rows_under_a_section_and_makes_them_once(spark):
     rows = [("a", 1, 1, "2.1"), ("a", 1, 2, "2.10"), ("a", 1, 3, "2"), ("a", 1, 4, None), ("a", 1, 5, ""), ("b", 1, 6, "2.1"), ("a", 1, 7, "2.1.4"), (None, 2, 8, "1")]
     found = spark.createDataFrame(rows, "library_id string, doc_id long, chunk_id long, section string")
