@@ -53,7 +53,7 @@ def test_chunks_are_cut_into_words_twice(spark, tmp_path, name):
     assert plan(found).split("Initial Plan")[0].count("regexp_extract_all(") == 2
 
 
-@pytest.mark.parametrize("name", SEARCHES[1:5])
+@pytest.mark.parametrize("name", SEARCHES[1:6])
 def test_headings_are_cut_once_and_chunks_without_a_term_are_not(spark, tmp_path, name):
     write_documents(spark, tmp_path)
     held = plan(queries.queries()[name](spark, str(tmp_path)))
