@@ -130,6 +130,16 @@ def _severity(rate: Column, limits: tuple[float, float]) -> Column:
     return F.when(rate >= limits[1], "unusable").when(rate >= limits[0], "degraded")
 
 
+def graded_size(text: Column, images: Column) -> Column:
+    """A size on the same side of every threshold of findings() as the text's token estimate.
+
+    A text has no more atoms than characters, so a chunk without images, whose only threshold near is MIN_TOKENS, is
+    not cut where its characters are too few to reach that.
+    """
+    most = T.tokens_of(F.char_length(text))
+    return F.when((most < MIN_TOKENS) & (images <= 0), most).otherwise(T.token_estimate(text))
+
+
 def findings(chunks: DataFrame, marked_up: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """doc_id, code, severity of documents of 25 chunks or more.
 

@@ -79,7 +79,7 @@ def ordinal_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    return grade.findings(C.sized(spark, d))
+    return grade.findings(C.chunks(spark, d).withColumn("tokens", grade.graded_size(F.col("text"), F.col("image_count"))))
 
 
 def _graded(code: str) -> Query:

@@ -109,6 +109,19 @@ def test_verdict_cuts_chunks_twice(spark, tmp_path):
     assert plan(queries.queries()["verdict"](spark, str(tmp_path))).count("posexplode(") == 2
 
 
+def test_verdict_leaves_short_chunks_without_images_uncut(spark, tmp_path):
+    write_documents(spark, tmp_path)
+    assert "floor((cast(char_length(" in plan(queries.queries()["verdict"](spark, str(tmp_path))).lower()
+
+
+def test_graded_sizes_pass_the_same_thresholds(spark):
+    texts = ["", None, "日" * 76, "日" * 77, "日" * 101, "!" * 76, "!" * 77, "word " * 20, "! " * 39, "!" * 30, "!" * 31, "!" * 923, "!" * 924, "ab " * 924, "𠀀!" * 50]
+    rows = spark.createDataFrame([(t, n) for t in texts for n in (0, 1)], "text string, images int")
+    sides = lambda size: F.struct(size > grade.MAX_TOKENS, size < grade.MIN_TOKENS, (F.col("images") > 0) & (size < grade.FIGURE_TOKENS))
+    got = rows.select("text", "images", sides(grade.graded_size(F.col("text"), F.col("images"))).alias("a"), sides(text.token_estimate(F.col("text"))).alias("b"))
+    assert got.where("NOT a <=> b").count() == 0
+
+
 def test_lines_and_sizes_keep_their_rules(spark):
     lines = ["  spaced out line of words 12 ", "\xa0no-break space at both ends\xa0", "tab\there and  two spaces 4711", "ünïcode façade çà et là 日本語 ok", "wide 日本 ok", "plain ascii, signs!", "", None, "é日", "a " + "b" * 30]
     rows = spark.createDataFrame([(line,) for line in lines], "line string")
