@@ -6,10 +6,14 @@ one that trims a context window does not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD, NO_WORD = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
+#: A sign that is neither a word's nor a space; the frequent letters stand singly, as a table, and are looked up first.
+ODD = r"[[^abcdefghijklmnopqrstuvwxyz0123456789_ ]&&[^\p{L}\p{N}]]"
 ATOM = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 #: Scripts counted by character, scripts whose estimate is uncalibrated, and the factor.
 WIDE = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
@@ -34,6 +38,16 @@ def parts(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, NO_WORD), "")
 
 
+def plain(text: Column) -> Column:
+    """A text in lower case with a space for each sign and the space that follows it, and no space at its ends."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"{ODD} ?", " "))
+
+
+def joined(plain_text: Column, cutter: Callable[[Column], Column]) -> Column:
+    """The words of a plain text with one space between them. Most prose is that already and is not cut."""
+    return F.when(F.contains(plain_text, F.lit("  ")), F.array_join(cutter(plain_text), " ")).otherwise(plain_text)
+
+
 def atoms(text: Column) -> Column:
     """Words and signs, each wide character as 1 / 1.3 atom, rounded half to even as a whole.
 

@@ -53,27 +53,37 @@ FACTS = ("ordinal", "section", "heading_path", "kind")
 
 
 def counted(chunks: DataFrame, terms: list[str], holding: bool = False) -> DataFrame:
-    """Keys and facts of every chunk, its length in words and tf, the counts of the query's terms in their order.
+    """Keys and facts of every chunk, its length in words, tf, the counts of the query's terms in their order, and held, whether there are any.
 
-    A heading counts twice and is cut once. ``holding``: of the chunks with a term's letters only, as others hold no
-    term; they are not cut. Lower case and words come out of inline(), through which no filter is pushed: one on tf
-    would else cut the text anew for each term.
+    ``holding``: of the chunks that hold a term only; those without a term's letters are not cut. Words stand in one
+    string, the heading's twice (it counts twice and is cut once), with two spaces between them, so a term is found
+    with a space on either side. Each step comes out of inline(), through which no filter is pushed and which makes
+    its columns once: a filter on tf would else cut the text anew for each term.
     """
     facts = ["library_id", "doc_id", "chunk_id", *[c for c in FACTS if c in chunks.columns]]
-    lowered = [F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("heading_path", "text")]
-    low = chunks.select(*facts, F.inline(F.array(F.struct(*lowered))))
+    made = lambda frame, **columns: frame.select(*facts, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    any_of = lambda held: reduce(or_, list(held))
+    low = made(chunks, _heading_path=T.plain(F.replace("heading_path", F.lit(T.PATH_SEP), F.lit(" "))), _text=T.plain(F.col("text")))
     if holding:
-        low = low.where(reduce(or_, [F.contains(c, F.lit(t)) for c in ("_heading_path", "_text") for t in terms]))
-    words = F.struct(T.parts(F.col("_heading_path")).alias("_heading"), T.cut(F.col("_text")).alias("_words"))
-    tokens = low.select(*facts, F.inline(F.array(words)))
-    times = lambda c, t: F.size(c) - F.size(F.array_remove(c, t))
-    tf = [times("_heading", t) * 2 + times("_words", t) for t in terms]
-    return tokens.select(*facts, (F.size("_heading") * 2 + F.size("_words")).cast("long").alias("length"), F.array(*tf).alias("tf"))
+        low = low.where(any_of(F.contains(c, F.lit(t)) for c in ("_heading_path", "_text") for t in terms))
+    words = made(low, _heading=T.joined(F.col("_heading_path"), T.parts), _words=T.joined(F.col("_text"), T.cut))
+    twice = F.concat("_heading", F.lit(" "), "_heading", F.lit(" "), "_words")
+    wide = F.concat(F.lit(" "), F.replace(twice, F.lit(" "), F.lit("  ")), F.lit(" "))
+    none = lambda c: (F.col(c) == "").cast("int")
+    # every space of ``twice`` is doubled and stands between two words, but for those beside an empty part
+    length = F.octet_length("_wide") - F.col("_octets") - 1 - F.col("_none")
+    tokens = made(words, _wide=wide, _octets=F.octet_length("_heading") * 2 + F.octet_length("_words") + 2, _none=none("_heading") * 2 + none("_words"))
+    held = [F.contains("_wide", F.lit(f" {t} ")) for t in terms]
+    if holding:
+        tokens = tokens.where(any_of(held))
+    times = lambda t: F.octet_length("_wide") - F.octet_length(F.replace("_wide", F.lit(f" {t} "), F.lit(f" {t}")))
+    tf = [F.when(h, times(t)).otherwise(0) for h, t in zip(held, terms, strict=True)]
+    return tokens.select(*facts, length.cast("long").alias("length"), F.array(*tf).alias("tf"), F.array(*held).alias("held"))
 
 
 def library_statistics(counts: DataFrame, terms: list[str]) -> DataFrame:
     """library_id, chunks, mean_length and df (of the terms, in their order) of every library: one combined pass."""
-    df = F.array(*[F.count_if(F.col("tf")[n] > 0) for n in range(len(terms))])
+    df = F.array(*[F.count_if(F.col("held")[n]) for n in range(len(terms))])
     return counts.groupBy("library_id").agg(F.count("*").alias("chunks"), F.avg("length").alias("mean_length"), df.alias("df"))
 
 
@@ -100,8 +110,7 @@ def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
     score = part(0)
     for n in range(1, len(terms)):
         score = score + part(n)
-    hits = counted(chunks, terms, holding=True).where(F.array_max("tf") > 0)
-    return hits.join(statistics, "library_id").withColumn("bm25", F.round(-score, PLACES)).drop("tf", "df", "length", "chunks", "mean_length")
+    return counted(chunks, terms, holding=True).join(statistics, "library_id").withColumn("bm25", F.round(-score, PLACES)).drop("tf", "held", "df", "length", "chunks", "mean_length")
 
 
 def relevance(score: Column) -> Column:

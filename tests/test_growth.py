@@ -1,5 +1,7 @@
 """Steps whose work or traffic outgrew the input: what their plans hold, and the same rows as the plain forms."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,31 @@ def test_counts_are_those_of_the_heading_twice_and_the_text(spark):
     assert held.collect() == want.where(F.array_max("tf") > 0).collect()
 
 
+#: Searches held to counting words in one string, and to making a document's pieces once a pass.
+IN_PLACE = ["bm25_interleave"]
+
+
+@pytest.mark.parametrize("name", IN_PLACE)
+def test_words_are_counted_in_one_string(spark, tmp_path, name):
+    write_documents(spark, tmp_path)
+    held = plan(queries.queries()[name](spark, str(tmp_path)))
+    assert "array_remove(_words" not in held and "array_max(" not in held and "Contains(_wide" in held
+
+
+def test_counts_by_spaces_are_those_of_words(spark):
+    said = [("the the", "the the the"), ("", "the"), ("the", ""), ("", ""), ("--", " -- "), ("a  the", "the, the. (the) the_ the-the"), ("x > the > y", " the\tthe\u00a0the "), ("the\n", "then the."), (None, "\U00020000the \U00020000 the\u0307")]
+    rows = spark.createDataFrame([("a", 1, n, *s) for n, s in enumerate(said)], "library_id string, doc_id long, chunk_id long, heading_path string, text string")
+    terms = ["the", "a", "\U00020000"]
+    want = []
+    for n, (heading, body) in enumerate(said):
+        found = [re.findall(r"[^\W]+", s.lower()) for s in (heading or "", heading or "", body)]
+        flat = [w for part in found for w in part]
+        want.append((n, len(flat), [flat.count(t) for t in terms]))
+    assert [tuple(r) for r in search.counted(rows, terms).select("chunk_id", "length", "tf").orderBy("chunk_id").collect()] == want
+    hits = search.counted(rows, terms, holding=True).select("chunk_id", "length", "tf").orderBy("chunk_id").collect()
+    assert [tuple(r) for r in hits] == [w for w in want if any(w[2])]
+
+
 def test_boost_marks_rows_under_a_section_and_makes_them_once(spark):
     rows = [("a", 1, 1, "2.1"), ("a", 1, 2, "2.10"), ("a", 1, 3, "2"), ("a", 1, 4, None), ("a", 1, 5, ""), ("b", 1, 6, "2.1"), ("a", 1, 7, "2.1.4"), (None, 2, 8, "1")]
     found = spark.createDataFrame(rows, "library_id string, doc_id long, chunk_id long, section string")
