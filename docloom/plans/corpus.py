@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    pieces = F.filter(F.split(F.replace("text", F.lit(". "), F.lit("\n")), "\n"), lambda x: F.length(x) > 0)
+    pieces = F.array_remove(F.split(F.replace("text", F.lit(". "), F.lit("\n")), "\n"), "")
     return docs.where("text is not null and doc_id is not null").select("doc_id", F.coalesce("lang", F.lit("none")).alias("library_id"), F.coalesce("source", F.lit("")).alias("source"), pieces.alias("pieces"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines_of(table(spark, sf_dir, "documents")).select("doc_id", "library_id", "source", F.posexplode("pieces").alias("ordinal", "text"))
+    # out of inline() the pieces are made once, not again for each of the filters that posexplode() brings
+    lines = lines_of(table(spark, sf_dir, "documents")).select("doc_id", "library_id", "source", F.inline(F.array(F.struct("pieces"))))
+    rows = lines.select("doc_id", "library_id", "source", F.posexplode("pieces").alias("ordinal", "text"))
     heading = """CASE WHEN (doc_id + ordinal) % 13 = 0 THEN '' WHEN doc_id % 7 = 0 THEN source
         WHEN doc_id % 4 = 1 THEN concat(source, ' > Glossary > Term ', ordinal)
         ELSE concat(source, ' > Part ', ordinal div 10, ' > Item ', ordinal div 2) END"""

@@ -75,7 +75,7 @@ def test_counts_are_those_of_the_heading_twice_and_the_text(spark):
 
 
 #: Searches held to counting words in one string, and to making a document's pieces once a pass.
-IN_PLACE = ["bm25_interleave"]
+IN_PLACE = ["bm25_interleave", "bm25_topk"]
 
 
 @pytest.mark.parametrize("name", IN_PLACE)
@@ -85,6 +85,13 @@ def test_words_are_counted_in_one_string(spark, tmp_path, name):
     assert "array_remove(_words" not in held and "array_max(" not in held and "Contains(_wide" in held
 
 
+@pytest.mark.parametrize("name", IN_PLACE)
+def test_documents_are_split_once_a_pass(spark, tmp_path, name):
+    write_documents(spark, tmp_path)
+    # a pass for the statistics and one for the scores; filters do not split the text again
+    assert plan(queries.queries()[name](spark, str(tmp_path))).count("split(replace(text") == 2
+
+
 def test_counts_by_spaces_are_those_of_words(spark):
     said = [("the the", "the the the"), ("", "the"), ("the", ""), ("", ""), ("--", " -- "), ("a  the", "the, the. (the) the_ the-the"), ("x > the > y", " the\tthe\u00a0the "), ("the\n", "then the."), (None, "\U00020000the \U00020000 the\u0307")]
     rows = spark.createDataFrame([("a", 1, n, *s) for n, s in enumerate(said)], "library_id string, doc_id long, chunk_id long, heading_path string, text string")
