@@ -75,7 +75,7 @@ def test_counts_are_those_of_the_heading_twice_and_the_text(spark):
 
 
 #: Searches held to counting words in one string, and to making a document's pieces once a pass.
-IN_PLACE = ["bm25_interleave", "bm25_topk", "search_keyword_penalty"]
+IN_PLACE = ["bm25_interleave", "bm25_topk", "search_keyword_penalty", "grouped_results"]
 
 
 @pytest.mark.parametrize("name", IN_PLACE)
