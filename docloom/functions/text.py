@@ -48,6 +48,22 @@ def joined(plain_text: Column, cutter: Callable[[Column], Column]) -> Column:
     return F.when(F.contains(plain_text, F.lit("  ")), F.array_join(cutter(plain_text), " ")).otherwise(plain_text)
 
 
+def word_count(joined_text: Column) -> Column:
+    """How many words a text has that are joined by one space."""
+    spaces = F.octet_length(joined_text) - F.octet_length(F.replace(joined_text, F.lit(" "), F.lit("")))
+    return F.when(joined_text == "", 0).otherwise(spaces + 1)
+
+
+def times_held(wide: Column, word: str) -> Column:
+    """How often a word stands in words with a space between them and at either end.
+
+    Each find takes the space after the word as well, so where the word stands twice in a row spaces are doubled first.
+    """
+    without = lambda text, left: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(f" {word} "), F.lit(left)))
+    once = (without(wide, " ") / (len(word.encode()) + 1)).cast("int")
+    return F.when(F.contains(wide, F.lit(f" {word} {word} ")), without(F.replace(wide, F.lit(" "), F.lit("  ")), f" {word}")).otherwise(once)
+
+
 def atoms(text: Column) -> Column:
     """Words and signs, each wide character as 1 / 1.3 atom, rounded half to even as a whole.
 

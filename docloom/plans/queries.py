@@ -18,20 +18,25 @@ WORDS = "the license of version"
 RESULT = ("library_id", "doc_id", "chunk_id", "adjusted", "doc_rank", "relevance", "rank")
 
 
+def _facts(with_terms: bool = False) -> tuple:
+    """The facts of a chunk that its rank needs; results do not show the others."""
+    return ("kind", "section") if with_terms else ("kind",)
+
+
 def _searched(request: search.Search, with_terms: bool = False) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         terms = C.index_terms(spark, d) if with_terms else None
-        return search.search(C.chunks(spark, d), C.ready(spark, d), request, terms).select(*RESULT)
+        return search.search(C.chunks(spark, d), C.ready(spark, d), request, terms, _facts(with_terms)).select(*RESULT)
 
     return run
 
 
 def bm25_pool(spark: SparkSession, d: str) -> DataFrame:
-    return search.pools(C.chunks(spark, d), C.ready(spark, d), search.Search(WORDS, k=2)).select("library_id", "doc_id", "chunk_id", "bm25", "pool_rank")
+    return search.pools(C.chunks(spark, d), C.ready(spark, d), search.Search(WORDS, k=2), ()).select("library_id", "doc_id", "chunk_id", "bm25", "pool_rank")
 
 
 def bm25_interleave(spark: SparkSession, d: str) -> DataFrame:
-    found = search.ranked(C.chunks(spark, d), C.ready(spark, d), search.Search(WORDS, k=3))
+    found = search.ranked(C.chunks(spark, d), C.ready(spark, d), search.Search(WORDS, k=3), facts=_facts())
     return found.select("library_id", "doc_id", "chunk_id", "adjusted", "doc_rank", "relevance")
 
 
@@ -43,7 +48,7 @@ def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def search_index_boost(spark: SparkSession, d: str) -> DataFrame:
     request = search.Search("the thent ention", k=3)
-    found = search.ranked(C.chunks(spark, d), C.ready(spark, d), request, C.index_terms(spark, d))
+    found = search.ranked(C.chunks(spark, d), C.ready(spark, d), request, C.index_terms(spark, d), _facts(True))
     return found.select("doc_id", "chunk_id", "bm25", "matched_book_index", "adjusted", "doc_rank")
 
 

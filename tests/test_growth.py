@@ -55,6 +55,45 @@ def test_chunks_are_cut_into_words_twice(spark, tmp_path, name):
     assert plan(found).split("Initial Plan")[0].count("regexp_extract_all(") == 2
 
 
+@pytest.mark.parametrize("name", [*SEARCHES, "bm25_pool"])
+def test_chunks_are_cut_into_words_once_when_run(spark, tmp_path, name):
+    write_documents(spark, tmp_path)
+    found = queries.queries()[name](spark, str(tmp_path))
+    assert len(found.collect()) > 0
+    final = plan(found).split("Initial Plan")[0]
+    # the scores take the statistics' shuffle, so the second cut of the plan is not run
+    assert "ReusedExchange" in final and final.count("regexp_extract_all(") == 1
+    # index terms are made of the documents' pieces too
+    assert final.count("split(replace(text") == (2 if name == "search_index_boost" else 1)
+
+
+@pytest.mark.parametrize("name", ["search_keyword_penalty"])
+def test_scores_are_not_shuffled_by_library(spark, tmp_path, name):
+    write_documents(spark, tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(queries.queries()[name](spark, str(tmp_path))).split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [lines[n + 1] for n, line in enumerate(lines) if re.search(r"hashpartitioning\(library_id#\d+, \d", line)]
+    # a library's statistics and the ready documents are, but no rows of chunks
+    assert len(below) == 2 and not any("chunk_id#" in line for line in below)
+
+
+def test_statistics_and_scores_share_rows_with_nulls_and_copies(spark):
+    said = [("a", 1, 1, "x > the", "the the cat"), ("a", 1, 1, "x > the", "the the cat"), ("a", 2, 2, None, None), (None, 3, 3, "", "the"), ("b", 4, 4, "cats", "then"), ("a", None, 5, "", "of the"), ("b", 4, None, "", "of")]
+    rows = spark.createDataFrame([(*s, n, "prose", None) for n, s in enumerate(said)], "library_id string, doc_id long, chunk_id long, heading_path string, text string, ordinal int, kind string, section string")
+    terms = ["the", "of"]
+    every, held = search.by_document(search.counted(rows, terms), terms)
+    assert {r.library_id: tuple(r)[1:] for r in search.library_statistics(every, terms).collect()} == {r.library_id: tuple(r)[1:] for r in search.library_statistics(search.counted(rows, terms), terms).collect()}
+    want = search.counted(rows, terms, holding=True).drop("held")
+    assert sorted(map(repr, held.select(want.columns).collect())) == sorted(map(repr, want.collect())) and held.count() == 5
+    scores = search.bm25(rows, terms)
+    assert {"ordinal", "section", "heading_path", "kind", "bm25"} <= set(scores.columns) and scores.count() == 4
+    ready = spark.createDataFrame([("a", 1), ("a", 1), ("b", 9)], "library_id string, doc_id long")
+    assert sorted(map(tuple, search.bm25(rows, terms, ready).select("chunk_id", "bm25").collect())) == sorted(map(tuple, scores.where("doc_id = 1").select("chunk_id", "bm25").collect()))
+
+
 @pytest.mark.parametrize("name", SEARCHES[1:6])
 def test_headings_are_cut_once_and_chunks_without_a_term_are_not(spark, tmp_path, name):
     write_documents(spark, tmp_path)
