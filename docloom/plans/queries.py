@@ -217,7 +217,7 @@ def verify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_results(spark: SparkSession, d: str) -> DataFrame:
-    return reports.grouped_results(search.search(C.chunks(spark, d), C.ready(spark, d), search.Search(WORDS, k=40)))
+    return reports.grouped_results(search.search(C.chunks(spark, d), C.ready(spark, d), search.Search(WORDS, k=40), facts=_facts()))
 
 
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:

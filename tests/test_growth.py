@@ -67,7 +67,7 @@ def test_chunks_are_cut_into_words_once_when_run(spark, tmp_path, name):
     assert final.count("split(replace(text") == (2 if name == "search_index_boost" else 1)
 
 
-@pytest.mark.parametrize("name", ["search_keyword_penalty"])
+@pytest.mark.parametrize("name", ["search_keyword_penalty", "grouped_results"])
 def test_scores_are_not_shuffled_by_library(spark, tmp_path, name):
     write_documents(spark, tmp_path)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
